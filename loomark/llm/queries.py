@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomark.llm import audio, bpe, decontaminate, langid, line_dedup, pii, sharding, simhash, warc
+from loomark.llm import audio, bpe, decontaminate, langid, line_dedup, pii, sharding, simhash, substrings, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_audio": audio.op5,
     "op6_simhash": simhash.op6,
     "op7_warc": warc.op7,
+    "op8_substrings": substrings.op8,
     "op9_langid": langid.op9,
     "op10_decontamination": decontaminate.op10,
 }
