@@ -54,31 +54,29 @@ def grams(c: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def aligned(window: np.ndarray, region: np.ndarray, k: int, first: int, width: int) -> tuple[int, int, int] | None:
-    """Best alignment of the window within the region, on diagonals first .. first + width - 1: (edits, start, end)."""
+def aligned(windows: np.ndarray, c: np.ndarray, first: np.ndarray, width: int, begin_at: np.ndarray, end_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best banded alignment of each window (one row each) with the characters c[begin_at:end_at], on diagonals
+    first .. first + width - 1: edits, start, end."""
     big = 1 << 20
-    m = len(window)
-    at = first + np.arange(width)  # column before the diagonal's first character
-    cost = np.where((at >= 0) & (at <= len(region)), 0, big)
-    begin = at.copy()
-    step = np.arange(width)
+    n, m = windows.shape
+    at = first[:, None] + np.arange(width)
+    lo, hi = begin_at[:, None], end_at[:, None]
+    cost, begin, step = np.where((at >= lo) & (at <= hi), 0, big), at.copy(), np.arange(width)
+    out_cost, out_begin = np.full((n, 1), big), np.zeros((n, 1), at.dtype)
     for i in range(m):
         col = at + i
-        ok = (col >= 0) & (col < len(region))
-        same = np.zeros(width, bool)
-        same[ok] = region[col[ok]] == window[i]
-        swap = np.where(ok, cost + ~same, big)
-        skip = np.concatenate([cost[1:] + 1, [big]])  # a character of the window is missing in the text
+        same = c[np.clip(col, 0, len(c) - 1)] == windows[:, i : i + 1]
+        swap = np.where((col >= lo) & (col < hi), cost + ~same, big)
+        skip = np.hstack([cost[:, 1:] + 1, out_cost])  # a character of the window is missing in the text
         new = np.minimum(swap, skip)
-        start = np.where(swap <= skip, begin, np.concatenate([begin[1:], [0]]))
-        lowest = np.minimum.accumulate(new - step)  # characters of the text that the window lacks
-        source = np.maximum.accumulate(np.where(new - step == lowest, step, 0))
-        inside = (col + 1 >= 0) & (col + 1 <= len(region))
-        cost, begin = np.where(inside, lowest + step, big), start[source]
-        if cost.min() > k:
-            return None
-    best = int(np.argmin(cost))
-    return int(cost[best]), int(begin[best]), int(at[best] + m)
+        start = np.where(swap <= skip, begin, np.hstack([begin[:, 1:], out_begin]))
+        lowest = np.minimum.accumulate(new - step, axis=1)  # characters of the text that the window lacks
+        source = np.maximum.accumulate(np.where(new - step == lowest, step, 0), axis=1)
+        cost = np.where((col + 1 >= lo) & (col + 1 <= hi), lowest + step, big)
+        begin = np.take_along_axis(start, source, 1)
+    best = cost.argmin(1)[:, None]
+    edits, start, end = (np.take_along_axis(x, best, 1)[:, 0] for x in (cost, begin, at + m))
+    return edits, start, end
 
 
 class Index:
@@ -134,20 +132,21 @@ class Index:
         begins = np.concatenate([[0], np.cumsum(sizes)])
         c = codes("\0".join(norm) + "\0")
         found: dict[int, set] = {}
+        todo: dict[int, list[tuple[int, int, int]]] = {}  # by the window's length: window, diagonal, text
         for w, diagonal in self.candidates(c):
-            item, window, k, _ = self.windows[w]
-            lo, hi = diagonal, diagonal + 2 * self.step + len(window)
-            d0 = int(np.searchsorted(begins, max(lo, 0), "right")) - 1
-            d1 = int(np.searchsorted(begins, min(hi, len(c) - 1), "right")) - 1
-            for d in range(d0, min(d1, len(texts) - 1) + 1):
-                region = c[begins[d] : begins[d + 1] - 1]
-                a = max(0, lo - begins[d])
-                b = min(len(region), hi - begins[d] + k)
-                if b - a < len(window) - k:
-                    continue
-                hit = aligned(window, region[a:b], k, lo - begins[d] - a, 2 * self.step)
-                if hit and hit[0] <= k:
-                    found.setdefault(d, set()).add((item, a + hit[1], a + hit[2], hit[0]))
+            m = len(self.windows[w][1])
+            d0, d1 = np.searchsorted(begins, (max(diagonal, 0), min(diagonal + 2 * self.step + m, len(c) - 1)), "right") - 1
+            todo.setdefault(m, []).extend((w, diagonal, d) for d in range(int(d0), min(int(d1), len(texts) - 1) + 1))
+        for jobs in todo.values():
+            for j in range(0, len(jobs), 4096):
+                part = jobs[j : j + 4096]
+                d = np.array([x[2] for x in part])
+                rows = np.stack([self.windows[x[0]][1] for x in part])
+                edits, start, end = aligned(rows, c, np.array([x[1] for x in part]), 2 * self.step, begins[d], begins[d + 1] - 1)
+                for x, k, a, b in zip(part, edits.tolist(), (start - begins[d]).tolist(), (end - begins[d]).tolist()):
+                    item, _, most, _ = self.windows[x[0]]
+                    if k <= most:
+                        found.setdefault(x[2], set()).add((item, a, b, k))
         out: list[list] = [[] for _ in texts]
         for d, hits in found.items():
             place = positions(texts[d])
