@@ -36,7 +36,7 @@ from loomark.llm.common import cut, remove, small, table
 LENGTH, Q = 200, 64
 #: Offsets that an anchor may have in a string.
 SPAN = LENGTH - Q + 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BITS = 22
 BROADCAST_ROWS = 500_000
 
@@ -298,7 +298,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rest = both.where((F.col("_n") == 1) | (F.struct("k1", "k2", "p") == F.col("_rep")))
     member = F.struct("p", "lo", "hi", "bucket", (F.col("_n") == 1).alias("single"))
     per_text, _ = cut(rest.groupBy("k1", "k2").agg(F.collect_list(member).alias("members")), "open_members")
-    texts = one.select("k1", "k2", "raw").join(_hint(per_text, BROADCAST_ROWS // 10), ["k1", "k2"]).select("k1", "k2", "raw", "members")
+    # only texts with open members are shuffled
+    open_texts = one.select("k1", "k2", "raw").join(_hint(per_text.select("k1", "k2"), BROADCAST_ROWS), ["k1", "k2"], "left_semi")
+    texts = open_texts.join(per_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "raw", "members")
     around, around_path = cut(texts.mapInArrow(_contexts, CONTEXT), "contexts")
     release(spark)
     span = lambda s: ", ".join(f"{s}{k} int" for k in ("f0", "t0", "f1", "t1"))
