@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomark.llm import bpe, decontaminate, langid, line_dedup, simhash
-from loomark.llm.common import cut, remove, table
+from loomark.llm.common import cut, remove, small, table
+
+#: Keys of rows that stay are broadcast up to this many (about 40 MB); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,7 +40,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = docs.select(F.struct(F.col("doc_id"), key.alias("k")).alias("_id"), "text")
     found = simhash.groups(rows, "_id")
     stay, _ = cut(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("_id.k").alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "survivors")
-    out = docs.withColumn("_key", key).join(stay, "_key", "left_semi")
+    held = F.broadcast(stay) if small(stay, BROADCAST_ROWS) else stay
+    out = docs.withColumn("_key", key).join(held, "_key", "left_semi")
     if not stay.where("_n > 1").isEmpty():  # rows that are the same in id and text
         out = out.dropDuplicates(["_key"])
     return out.select(*docs.columns)
