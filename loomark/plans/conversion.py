@@ -27,10 +27,9 @@ DECODE = "regexp_replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '
 SQUEEZE = "trim(regexp_replace({x}, '[\\s]+', ' ', 'g'))"
 
 
-def _sql(front: bool, prune: bool) -> str:
+def _sql(front: bool) -> str:
     clean = lambda x: SQUEEZE.format(x=DECODE.format(x=x))
     star = "repeat('**', CASE WHEN opens THEN least(k - 1, 3) + 1 ELSE least(k, 3) END::INT)"
-    nav = "" if prune else "|| chr(10) || chr(10) || (SELECT string_agg('- [' || t || '](' || (CASE WHEN u LIKE '/%' THEN o.origin || u ELSE u END) || ')', chr(10) ORDER BY i) FROM links WHERE links.page_id = o.page_id) || chr(10) || chr(10)"
     yaml = "'---' || chr(10) || 'title: \"' || replace(replace(trim(" + DECODE.format(x="o.title") + "), '\\', '\\\\'), '\"', '\\\"') || '\"' || chr(10) || 'url: \"' || o.url || '\"' || chr(10) || '---' || chr(10) || chr(10) || " if front else ""
     return f"""
 WITH o AS (
@@ -86,8 +85,8 @@ QUERIES = {
     "html_metadata": metadata,
 }
 ORACLE_SQL = {
-    "html_to_markdown": _sql(False, True),
-    "html_to_markdown_front_matter": _sql(True, True),
+    "html_to_markdown": _sql(False),
+    "html_to_markdown_front_matter": _sql(True),
     "html_links": LINKS_SQL,
     "html_metadata": METADATA_SQL,
 }
