@@ -59,3 +59,14 @@ def ascii_lower(c: Column) -> Column:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to so many rows and bytes, where they are larger: a task then holds few long texts at
+    once, in the executor and in its Python worker. Results do not depend on it."""
+    key = "spark.sql.execution.arrow."
+    if int(spark.conf.get(f"{key}maxRecordsPerBatch")) > rows:
+        spark.conf.set(f"{key}maxRecordsPerBatch", str(rows))
+    held = spark.conf.get(f"{key}maxBytesPerBatch")
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > size:
+        spark.conf.set(f"{key}maxBytesPerBatch", f"{size}b")

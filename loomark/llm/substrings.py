@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import cut, remove, small, table
+from loomark.llm.common import cut, remove, small, small_batches, table
 
 LENGTH, Q = 200, 64
 #: Offsets that an anchor may have in a string.
@@ -338,6 +338,7 @@ def _keys(text_col: str) -> tuple[Column, Column, Column]:
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept binary, removed array of (start, end))."""
+    small_batches(docs.sparkSession)
     copies, spans = repeats(docs, id_col, text_col)
     per_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
     k1, k2, raw = _keys(text_col)
