@@ -11,10 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomark.functions.markdown import Options, convert, normalise
-from loomark.plans import conversion, metrics, requests
+from loomark.functions.blake3 import digests
+from loomark.plans import conversion, metrics, policies, requests
+from loomark.sources.decoding import inflate
+from loomark.streaming.chunks import convert_chunks, slice_bytes
 
 SF = "/root/testdata/sf0.001"
-PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, requests, metrics) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
+PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, requests, metrics, policies) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +84,34 @@ def test_convert_is_total_and_normal(html):
     md = convert(html, "http://h/")
     assert md == convert(html, "http://h/")
     assert normalise(md) == md
+
+
+def test_blake3_known_values():
+    got = [x.hex() for x in digests([b"", b"abc"])]
+    assert got == ["af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"]
+
+
+def test_blake3_batches_agree_with_single_inputs():
+    inputs = [bytes(i % 251 for i in range(n)) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 3072, 3073, 5121, 8192, 31744)]
+    assert digests(inputs) == [digests([x])[0] for x in inputs]
+    assert len(set(digests(inputs))) == len(inputs)
+
+
+def test_inflate():
+    assert inflate(b"", "gzip", 9) == ("truncated", None)
+    assert inflate(b"x", "br", 9) == ("unsupported", None)
+    assert inflate(b"x", "identity", 9) == ("ok", b"x")
+
+
+def test_chunks_as_a_stream(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 6")
+    chunks = slice_bytes(pages, 700)
+    # later chunks first: a page's state waits for the others
+    chunks.where("seq % 2 = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
+    chunks.where("seq % 2 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = convert_chunks(stream).writeStream.format("memory").queryName("chunked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.page_id: r.markdown for r in spark.table("chunked").collect()}
+    assert got == {r.page_id: r.markdown for r in convert_chunks(chunks).collect()}
+    assert len(got) == pages.count()
