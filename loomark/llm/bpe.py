@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import table
+from loomark.llm.common import small_batches, table
 
 CACHE_PIECES = 1 << 17
 #: Longer pieces are not kept in the cache.
@@ -151,6 +151,7 @@ def _sizes(column: pa.Array) -> np.ndarray:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_offsets: bool = False) -> DataFrame:
     """(id, ids binary) and, with_offsets, starts and ends: arrays of character positions."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary" + ", starts array<long>, ends array<long>" * with_offsets
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomark.llm.common import table
+from loomark.llm.common import small_batches, table
 
 SAMPLE_BYTES = 1 << 17
 PIECE = 2000
@@ -108,6 +108,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
 
     model is a broadcast of at most MAX_LANGUAGES x SAMPLE_BYTES."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     added = [(f"{prefix}{n}", t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("rejected", T.BooleanType()))]
