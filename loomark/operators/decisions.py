@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,21 +92,64 @@ def not_modified(if_none_match: Column, etag: Column, if_modified_since: Column,
     return F.coalesce(F.when(if_none_match.isNotNull(), match).otherwise(last_modified <= if_modified_since), F.lit(False))
 
 
+def ip_hex(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, or of an IPv4 address mapped into IPv6; null for other text."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    dotted = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    pair = lambda c, p, i: F.lpad(F.lower(F.hex(F.regexp_extract(c, p, i).try_cast("bigint"))), 2, "0")
+    four = F.concat(F.lit("0" * 20 + "ffff"), *[pair(ip, "^" + dotted, i) for i in range(1, 5)])
+    tail = lambda i: pair(ip, "(?<=:)" + dotted, i)
+    plain = F.lower(F.when(F.contains(ip, F.lit(".")), F.concat(F.regexp_replace(ip, "[0-9.]*$", ""), tail(1), tail(2), F.lit(":"), tail(3), tail(4))).otherwise(ip))
+    halves = F.split(plain, "::", -1)
+    groups = lambda c: F.filter(F.split(c, ":", -1), lambda g: c != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    n, cuts = F.size(left) + F.size(right), F.size(halves)
+    fits = ((cuts == 1) & (n == 8)) | ((cuts == 2) & (n < 8))
+    good = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    padded = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(g, 4, "0")), "")
+    six = F.concat(padded(left), F.repeat(F.lit("0000"), F.greatest(8 - n, F.lit(0))), padded(right))
+    return F.when(ip.rlike("^" + dotted), four).when(F.contains(ip, F.lit(":")) & fits & good, six)
+
+
 def cidr_contains(ip: Column, net: str) -> Column:
-    """Whether an IPv4 address lies in net (a.b.c.d/p)."""
-    base, _, prefix = net.partition("/")
-    bits = int(prefix or 32)
-    number = lambda parts: parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    parts = [F.split(ip, r"\.")[i].cast("long") for i in range(4)]
-    want = number([int(x) for x in base.split(".")]) >> (32 - bits) if bits else 0
-    return F.shiftright(number(parts), 32 - bits) == want if bits else F.lit(True)
+    """Whether an address lies in net: a.b.c.d/p or IPv6/p; a bare address is a net of itself. Mapped IPv6 addresses lie in
+    IPv4 nets, IPv4 addresses in no IPv6 net. Text that is no address lies in none; a net that is none is an error."""
+    base, _, prefix = net.strip().partition("/")
+    address = ipaddress.ip_address(base)
+    whole = address.max_prefixlen
+    bits = int(prefix) if prefix else whole
+    if (prefix and not re.fullmatch("[0-9]+", prefix)) or bits > whole:
+        raise ValueError(f"no network: {net}")
+    digits = address.packed.hex().rjust(32, "0") if whole == 128 else "0" * 20 + "ffff" + address.packed.hex()
+    bits += 128 - whole
+    full, part = divmod(bits, 4)
+    h = ip_hex(ip)
+    found = F.startswith(h, F.lit(digits[:full]))
+    if part:
+        low = int(digits[full], 16) >> (4 - part) << (4 - part)
+        found = found & F.substring(h, full + 1, 1).isin([f"{x:x}" for x in range(low, low + (1 << (4 - part)))])
+    if whole == 128:
+        found = found & F.contains(ip, F.lit(":"))
+    return F.coalesce(found, F.lit(False))
+
+
+def validate_host(host: Column) -> Column:
+    """The host, with its port if any, or null: ASCII only; no blanks, control characters or , @ / ? \\ #; IPv6 in brackets."""
+    port = F.regexp_extract(host, r":([0-9]+)$", 1)
+    port_ok = F.when(host.rlike(r"[^:\]]*:[0-9]+$"), F.coalesce(port.try_cast("bigint").between(1, 65535), F.lit(False))).otherwise(True)
+    clean = host.rlike(r"^[!-~]+$") & ~host.rlike(r"[,@/?\\#]")
+    inner = F.regexp_extract(host, r"^\[([^\]]*)\](?::[0-9]+)?$", 1)
+    six = F.contains(inner, F.lit(":")) & ip_hex(inner).isNotNull()
+    named = host.rlike(r"^[^:\[\]]+(?::[0-9]+)?$")
+    ok = F.when(F.startswith(host, F.lit("[")), six & F.when(F.endswith(host, F.lit("]")), True).otherwise(port_ok)).otherwise(named & port_ok)
+    return F.when(clean & ok, host)
 
 
 def base_url(trusted: Column, forwarded: Column, x_host: Column, x_proto: Column, host: Column, scheme: Column) -> Column:
     """struct(base_url, source): Forwarded's right-most element, X-Forwarded-*, Host, or the default."""
     last = F.element_at(F.filter(F.split(forwarded, ","), lambda e: F.btrim(e) != ""), -1)
     part = lambda k: F.nullif(F.regexp_extract(last, rf'(?i)(?:^|;)\s*{k}="?([^";]+)"?', 1), F.lit(""))
-    valid = lambda h: h.rlike(r"^[A-Za-z0-9.-]+(:[0-9]{1,5})?$")
+    valid = lambda h: validate_host(h).isNotNull()
     proto = lambda p: F.when(F.lower(F.btrim(p)).isin("http", "https"), F.lower(F.btrim(p)))
     join = lambda p, h, s: F.struct(F.concat(p, F.lit("://"), h).alias("base_url"), F.lit(s).alias("source"))
     return (

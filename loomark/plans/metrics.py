@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomark.operators.decisions import capped_paths
+from loomark.operators.reports import deviation
 
 
 def events(spark, sf_dir):
@@ -57,11 +58,6 @@ def slope(spark, sf_dir):
 SLOPE_SQL = "SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice::DOUBLE, l_quantity::DOUBLE), 4) AS slope FROM lineitem GROUP BY 1"
 
 
-def deviation(base, now):
-    """Per cent; 0, 100 or -100 where the baseline is zero."""
-    return F.when(base == 0, F.signum(now) * 100.0).otherwise((now - base) / F.abs(base) * 100.0)
-
-
 def judge(dev, warn: float, block: float, higher_is_worse: bool = True):
     bad = dev if higher_is_worse else -dev
     return F.when(bad >= block, "fail").when(bad >= warn, "warn").otherwise("pass")
@@ -73,7 +69,7 @@ def compare(spark, sf_dir):
     key = F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string"))
     run = lambda odd, name: e.where(F.col("event_id") % 2 == odd).where(F.lit(odd == 0) | (F.col("user_id") % 20 != 3)).groupBy(key.alias("fixture")).agg(F.round(F.avg("value"), 6).alias(name))
     both = run(0, "base").join(run(1, "now"), "fixture", "full")
-    dev = F.round(deviation(F.col("base"), F.col("now")), 4)
+    dev = F.round(deviation(F.col("now"), F.col("base")), 4)
     verdict = F.when(F.col("base").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise(judge(dev, 15, 30))
     return both.select("fixture", "base", "now", dev.alias("deviation"), verdict.alias("verdict"))
 
@@ -81,7 +77,7 @@ def compare(spark, sf_dir):
 COMPARE_SQL = """WITH k AS (SELECT *, event_type || ':' || (user_id % 20)::VARCHAR AS fixture FROM events),
 a AS (SELECT fixture, round(avg(value), 6) AS base FROM k WHERE event_id % 2 = 0 GROUP BY 1),
 b AS (SELECT fixture, round(avg(value), 6) AS now FROM k WHERE event_id % 2 = 1 AND user_id % 20 <> 3 GROUP BY 1),
-d AS (SELECT fixture, base, now, round(CASE WHEN base = 0 THEN sign(now) * 100.0 ELSE (now - base) / abs(base) * 100.0 END, 4) AS deviation FROM a FULL JOIN b USING (fixture))
+d AS (SELECT fixture, base, now, round(CASE WHEN base = 0 THEN sign(now) * 100.0 ELSE (now - base) / base * 100.0 END, 4) AS deviation FROM a FULL JOIN b USING (fixture))
 SELECT *, CASE WHEN base IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN deviation >= 30 THEN 'fail' WHEN deviation >= 15 THEN 'warn' ELSE 'pass' END AS verdict FROM d"""
 
 

@@ -12,12 +12,12 @@ from hypothesis import strategies as st
 
 from loomark.functions.markdown import Options, convert, normalise
 from loomark.functions.blake3 import digests
-from loomark.plans import conversion, metrics, policies, requests
+from loomark.plans import conversion, metrics, policies, reports, requests
 from loomark.sources.decoding import inflate
 from loomark.streaming.chunks import convert_chunks, slice_bytes
 
 SF = "/root/testdata/sf0.001"
-PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, requests, metrics, policies) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
+PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, requests, metrics, policies, reports) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,66 @@ def test_chunks_as_a_stream(spark, tmp_path):
     got = {r.page_id: r.markdown for r in spark.table("chunked").collect()}
     assert got == {r.page_id: r.markdown for r in convert_chunks(chunks).collect()}
     assert len(got) == pages.count()
+
+
+def test_files(spark, tmp_path):
+    from loomark.operators import reports as R
+    from loomark.sources import files
+
+    (tmp_path / "c" / "d").mkdir(parents=True)
+    (tmp_path / "c" / "d" / "a.html").write_text("<p>a")
+    (tmp_path / "c" / "d" / "a.meta.json").write_text('{"fixture-id": "a", "page-type": "docs", "failure-corpus": true}')
+    (tmp_path / "c" / "alone.html").write_text("<p>b")
+    (row,) = files.corpus(spark, str(tmp_path / "c")).collect()
+    assert (row["fixture-id"], row["failure-corpus"], bytes(row.content)) == ("a", True, b"<p>a")
+    (tmp_path / "conf").write_text("# c\n\n a = 1=2 \nbad line\nb=\n")
+    assert sorted((r.key or "", r.value, r.error) for r in files.settings(spark, str(tmp_path / "conf")).collect()) == [("", None, "no setting: bad line"), ("a", "1=2", None), ("b", "", None)]
+    (tmp_path / "r.json").write_text('{"schema-version": "1",\n "fixtures": [{"fixture-id": "x", "conversion-result": "converted", "input-bytes": 10, "output-bytes": 5, "latency-ms": 2.0}]}')
+    rows = files.fixtures(files.reports(spark, str(tmp_path / "r.json")))
+    s = R.summary(rows).first()
+    assert (s.converted, s.token_reduction, s.p95) == (1, 50.0, 2.0)
+    assert R.summary(rows.limit(0)).first().asDict()["fixtures"] == 0
+    files.write_report(R.summary(rows), str(tmp_path / "out"))
+    assert "fallback-rate" in spark.read.json(str(tmp_path / "out")).columns
+    files.write_markdown(spark.createDataFrame([("HEAD", "x"), ("GET", "y")], "method string, markdown string"), str(tmp_path / "md"), "method")
+    assert {(r.method, r.markdown) for r in spark.read.parquet(str(tmp_path / "md")).collect()} == {("HEAD", None), ("GET", "y")}
+
+
+@pytest.mark.parametrize("total,caps", [(0, (262144, 65536, 65536, 1024)), (4 << 20, (524288, 131072, 131072, 1024)), (10, (7, 2, 1, 0))])
+def test_split_budget(total, caps):
+    from loomark.operators.reports import split_budget
+
+    out = split_budget(total)
+    assert tuple(out[k] for k in ("output", "stack", "lookahead", "sniff")) == caps
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 4 << 20))
+def test_small_budgets_are_dealt_whole(total):
+    from loomark.operators.reports import split_budget
+
+    assert 0 == total or total >= 2 << 20 or sum(split_budget(total).values()) == total
+
+
+def test_addresses(spark):
+    import ipaddress
+
+    from pyspark.sql import functions as F
+
+    from loomark.operators.decisions import cidr_contains, ip_hex
+
+    ips = ["::", "1::", "::1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "a:b::c:d", "256.1.1.1", "1.2.3", "", ":::", "1:::2", "g::1", "12345::", "0.0.0.0", "::ffff:0:0", None, "01.2.3.4", "1:2:3:4:5:6:7::", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:"]
+
+    def want(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        return (b"\0" * 10 + b"\xff\xff" + a.packed if a.version == 4 else a.packed).hex()
+
+    rows = spark.createDataFrame([(x,) for x in ips], "ip string")
+    got = rows.select("ip", ip_hex(F.col("ip")).alias("h"), cidr_contains(F.col("ip"), "0.0.0.0/0").alias("c")).collect()
+    assert [(r.ip, r.h) for r in got] == [(x, want(x)) for x in ips]
+    assert {r.ip for r in got if r.c} == {"0.0.0.0", "::ffff:0:0"}
+    with pytest.raises(ValueError):
+        cidr_contains(F.col("ip"), "10.0.0.0/33")
