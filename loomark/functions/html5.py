@@ -2,7 +2,8 @@
 
 Covered: implied html/head/body, raw text and RCDATA elements, void elements, implied end tags, p in button scope, list items,
 the list of active formatting elements with reconstruction and the rule of three, the adoption agency in its common form
-(misnested formatting elements), table sections and cells with implied tbody/tr. Foster parenting and templates are not.
+(misnested formatting elements), table sections and cells with implied tbody/tr, foster parenting. A template's content is
+no part of the tree.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("body button head input img tbody tfoot thead tr select textarea".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript".split())
+TABLE = frozenset("table tbody thead tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th style script template".split())
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?]([^>]*)>)", re.S)
 ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
@@ -111,9 +114,24 @@ class Builder:
             self.in_body = True
             self.stack = [self.html, self.body]
 
+    def put(self, x: Node | str) -> None:
+        """At the end of the current node; what has no place right in a table goes before it."""
+        top = self.stack[-1]
+        kids = top.children
+        at = len(kids)
+        if top.tag in TABLE and (x.strip("\t\n\f\r ") if isinstance(x, str) else x.tag not in TABLE_PARTS):
+            i = max(i for i, n in enumerate(self.stack) if n.tag == "table") if any(n.tag == "table" for n in self.stack) else 0
+            if i:
+                kids = self.stack[i - 1].children
+                at = next((j for j in range(len(kids) - 1, -1, -1) if kids[j] is self.stack[i]), len(kids))
+        if isinstance(x, str) and at and isinstance(kids[at - 1], str):
+            kids[at - 1] += x
+        else:
+            kids.insert(at, x)
+
     def insert(self, tag: str, attrs: dict) -> Node:
         node = Node(tag, attrs)
-        self.stack[-1].children.append(node)
+        self.put(node)
         return node
 
     def reconstruct(self) -> None:
@@ -148,11 +166,7 @@ class Builder:
                 return
             self.open_body()
         self.reconstruct()
-        at = self.stack[-1].children
-        if at and isinstance(at[-1], str):
-            at[-1] += data
-        else:
-            at.append(data)
+        self.put(data)
 
     def start(self, tag: str, attrs: dict) -> None:
         if tag in ("html", "head", "body"):
@@ -182,6 +196,8 @@ class Builder:
             self.stack.pop()
         elif tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup", "col"):
             self.table_part(tag)
+        elif tag == "table" and self.stack[-1].tag in TABLE:
+            self.end("table")
         elif tag == "a" and any(x is not None and x.tag == "a" for x in self.active):
             self.end("a")
         if tag in FORMATTING:
@@ -291,9 +307,13 @@ class Builder:
 
 
 def parse(html: str) -> Node:
-    b = Builder()
+    b, template = Builder(), 0
     for kind, data, attrs in tokens(html):
-        if kind == "text":
+        if data == "template" and kind in ("start", "end"):
+            template = max(0, template + (1 if kind == "start" else -1))
+        elif template:
+            continue
+        elif kind == "text":
             if b.stack[-1].tag in HEAD_ONLY and not b.in_body:
                 b.stack[-1].children.append(data)
             else:

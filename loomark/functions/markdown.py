@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -23,6 +24,7 @@ REMOVED = frozenset(("script", "style", "noscript", "applet", "link", "base"))
 EMBEDDED = frozenset(("iframe", "object", "embed"))
 SCHEMES = ("javascript:", "data:", "vbscript:", "file:", "about:")
 MAX_DEPTH = 1000
+RECURSION = 20 * MAX_DEPTH
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,14 @@ class Options:
     noise: tuple[str, ...] = field(default=NOISE)
 
 
+#: What str.split() takes for white space and WS does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def squeeze(text: str) -> str:
-    return RUN.sub(" ", text).strip(" ")
+    if any(c in text for c in SEPARATORS):
+        return RUN.sub(" ", text).strip(" ")
+    return " ".join(text.split())
 
 
 def dangerous(url: str) -> bool:
@@ -63,7 +71,14 @@ def label(text: str) -> str:
 
 
 def plain(node: Node, skip: frozenset = SKIPPED) -> str:
-    return "".join(x if isinstance(x, str) else "" if x.tag in skip else plain(x, skip) for x in node.children)
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag not in skip:
+            todo.extend(reversed(x.children))
+    return "".join(out)
 
 
 def normalise(text: str) -> str:
@@ -71,7 +86,7 @@ def normalise(text: str) -> str:
     out: list[str] = []
     fence, blank = None, False
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        m = re.match(r" *(`{3,})", line)
+        m = re.match(r" *(`{3,})", line) if "```" in line else None
         if fence:
             out.append(line)
             if m and len(m[1]) >= len(fence) and not line.strip(" `"):
@@ -89,39 +104,78 @@ def normalise(text: str) -> str:
         if blank and out:
             out.append("")
         blank = False
+        if "  " not in line:
+            out.append(line)
+            continue
         lead = line[: len(line) - len(line.lstrip(" "))]
         parts = re.split(r"(`+[^`]*`+)", line[len(lead) :])
         out.append(lead + "".join(x if i % 2 else re.sub(" {2,}", " ", x) for i, x in enumerate(parts)))
     return "\n".join(out).rstrip("\n") + "\n" if any(out) else ""
 
 
+class Text:
+    """Text that grows at its end. It knows its last two characters and how many of its pieces are not blank, so that no
+    step reads or copies all of it."""
+
+    __slots__ = ("parts", "tail", "solid")
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.tail, self.solid = "", 0
+
+    def __iadd__(self, s: str) -> "Text":
+        if s:
+            self.parts.append(s)
+            self.tail = s[-2:] if len(s) > 1 else self.tail[-1:] + s
+            if s.strip(WS):
+                self.solid += 1
+        return self
+
+    def __str__(self) -> str:
+        return "".join(self.parts)
+
+    def trim(self) -> None:
+        """Blanks at the end go."""
+        if not self.tail.endswith(" "):
+            return
+        parts = self.parts
+        while parts:
+            left = parts.pop().rstrip(" ")
+            if left:
+                parts.append(left)
+                break
+        self.tail = "".join(parts[-2:])[-2:]
+
+    def gap(self) -> None:
+        """A blank line before what follows, if anything stands before it."""
+        if self.solid:
+            self.trim()
+            if self.tail != "\n\n":
+                self += "\n" if self.tail.endswith("\n") else "\n\n"
+
+
 class Writer:
     def __init__(self, options: Options, base: str | None):
-        self.o, self.base, self.buf = options, base if options.resolve else None, ""
+        self.o, self.base, self.buf = options, base if options.resolve else None, Text()
 
     def url(self, raw: str | None) -> str | None:
         if not raw or dangerous(raw):
             return None
         return resolve(raw, self.base)
 
-    def gap(self) -> None:
-        if self.buf.strip(WS):
-            self.buf = self.buf.rstrip(" ")
-            while not self.buf.endswith("\n\n"):
-                self.buf += "\n"
-
     def text(self, data: str) -> None:
-        body = squeeze(data)
-        apart = bool(self.buf) and self.buf[-1] not in WS
+        body, buf = squeeze(data), self.buf
+        apart = bool(buf.tail) and buf.tail[-1] not in WS
         if not body:
-            self.buf += " " * (apart and bool(data))
+            if apart and data:
+                buf += " "
             return
-        self.buf += " " * (apart and data[0] in WS) + body + " " * (data[-1] in WS)
+        buf += (" " if apart and data[0] in WS else "") + body + (" " if data[-1] in WS else "")
 
     def inner(self, node: Node, depth: int) -> str:
-        held, self.buf = self.buf, ""
+        held, self.buf = self.buf, Text()
         self.walk(node, depth)
-        out, self.buf = self.buf, held
+        out, self.buf = str(self.buf), held
         return out
 
     def walk(self, node: Node, depth: int = 0) -> None:
@@ -138,22 +192,22 @@ class Writer:
         if t in REMOVED or (self.o.prune and t in self.o.noise and t not in PROTECTED):
             return
         if len(t) == 2 and t[0] == "h" and t[1] in "123456":
-            self.gap()
+            self.buf.gap()
             self.buf += "#" * int(t[1]) + " " + squeeze(self.inner(n, depth)) + "\n\n"
         elif t == "p":
-            self.gap()
-            at = len(self.buf)
+            self.buf.gap()
+            before = self.buf.solid
             self.walk(n, depth)
-            if self.buf[at:].strip(WS):
+            if self.buf.solid > before:
                 self.buf += "\n\n"
         elif t in ("ul", "ol"):
-            self.gap()
+            self.buf.gap()
             self.items(n, 0, depth)
             self.buf += "\n"
         elif t == "li":
             self.item(n, "- ", 0, depth)
         elif t == "pre":
-            self.gap()
+            self.buf.gap()
             code = next((x for x in n.children if isinstance(x, Node) and x.tag == "code"), n)
             found = re.search(r"(?:^|\s)lang(?:uage)?-([A-Za-z0-9_\-+.#]+)(?:\s|$)", code.attrs.get("class", ""))
             raw = plain(n, frozenset())
@@ -211,7 +265,7 @@ class Writer:
                 self.item(x, "1. " if n.tag == "ol" else "- ", level, depth + 1)
 
     def item(self, n: Node, marker: str, level: int, depth: int) -> None:
-        held, self.buf = self.buf, ""
+        held, self.buf = self.buf, Text()
         nested: list[Node] = []
         for x in n.children:
             if isinstance(x, str):
@@ -220,8 +274,8 @@ class Writer:
                 nested.append(x)
             else:
                 self.element(x, depth + 1)
-        body, self.buf = self.buf.strip(WS), held
-        if self.buf and not self.buf.endswith("\n"):
+        body, self.buf = str(self.buf).strip(WS), held
+        if self.buf.tail and not self.buf.tail.endswith("\n"):
             self.buf += "\n"
         first, *rest = body.split("\n")
         pad = " " * len(marker)
@@ -268,16 +322,19 @@ class Writer:
         width = max(map(len, head + rows))
         line = lambda cells: "| " + " | ".join([*cells, *[""] * (width - len(cells))]) + " |\n"
         mark = {"left": ":---", "right": "---:", "center": ":---:", None: "---"}
-        self.gap()
+        self.buf.gap()
         self.buf += line(head[0]) + line([mark[a] for a in [*aligns, *[None] * width][:width]]) + "".join(map(line, rows)) + "\n"
 
 
 def find(node: Node, tag: str):
-    for x in node.children:
-        if isinstance(x, Node):
+    """The nodes of a tag below a node, in the page's order."""
+    todo = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, str):
             if x.tag == tag:
                 yield x
-            yield from find(x, tag)
+            todo.extend(reversed(x.children))
 
 
 def metadata(tree: Node, base: str | None) -> dict[str, str | None]:
@@ -318,11 +375,13 @@ def convert(html: str | None, base: str | None = None, options: Options = Option
         return None
     tree = parse(html)
     w = Writer(options, base)
+    if sys.getrecursionlimit() < RECURSION:
+        sys.setrecursionlimit(RECURSION)  # a level of nesting takes a few calls
     try:
         w.walk(tree)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
-    body = normalise(w.buf.lstrip(WS))
+    body = normalise(str(w.buf).lstrip(WS))
     return front_matter(metadata(tree, base)) + body if options.front_matter else body
 
 

@@ -56,6 +56,9 @@ def test_entry(spark):
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c\n"),
         ("<ol><li>a</li><li>b</li></ol>", "1. a\n1. b\n"),
         ("<p><b>x<p>y", "**x**\n\n**y**\n"),
+        ("<p>a<template><p>in<table></template>b", "ab\n"),
+        ("<table><b>x</b><tr><td>1</td></tr>y</table>z", "**x**y1z\n"),
+        ("<div>" * 990 + "x", "x\n"),
         ('<a href="/q">t [x]</a>', "[t \\[x\\]](http://h/q)\n"),
         ('<a href="javascript:x">t</a>', "t\n"),
         ("<nav>n</nav><main>m</main>", "m\n"),
