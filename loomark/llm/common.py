@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but those used under a name of its own, so that none clashes with an operator's; and a function
+    that gives a result its names back. Of a column that the operator adds and one of docs by its name, the new one stays."""
+    names = docs.columns
+    own = [n if n in used and names.index(n) == i else f"_aside_{i}" for i, n in enumerate(names)]
+
+    def back(out: DataFrame) -> DataFrame:
+        new = [c for c in out.columns if c not in own]
+        taken = {c.lower() for c in new}
+        held = [F.col(o).alias(n) for o, n in zip(own, names) if o in out.columns and n.lower() not in taken]
+        return out.select(*held, *new)
+
+    return docs.toDF(*own), back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

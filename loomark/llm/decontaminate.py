@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomark.llm.common import table
+from loomark.llm.common import aside, table
 
 Q = 8
 WINDOW, STRIDE = 100, 50
@@ -186,6 +186,7 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with the column _hits: array of (item_id, start, end, edits); without the text unless keep_text."""
     spark = docs.sparkSession
+    docs, back = aside(docs, text_col)
     out = docs.withColumn("_hits", F.array().cast(T.ArrayType(HIT)))
     parts = list(blocks(benchmark))
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in HIT]))
@@ -210,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_tex
                     yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(hits, kind)], [*names, "_hits"])
 
         out = out.mapInArrow(run, schema)
-    return out
+    return back(out)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

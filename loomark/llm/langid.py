@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomark.llm.common import small_batches, table
+from loomark.llm.common import aside, small_batches, table
 
 SAMPLE_BYTES = 1 << 17
 PIECE = 2000
@@ -110,6 +110,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs, back = aside(docs, text_col)
     at = docs.columns.index(text_col)
     added = [(f"{prefix}{n}", t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("rejected", T.BooleanType()))]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])
@@ -124,7 +125,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
                 gone = [x == "und" or m < min_margin for x, m in zip(lang, margin)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(gone, pa.bool_())], [*part.schema.names, *[n for n, _ in added]])
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

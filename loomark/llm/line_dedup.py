@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import BLANKS, ascii_lower, cut, fresh_path, remove, table
+from loomark.llm.common import BLANKS, ascii_lower, aside, cut, fresh_path, remove, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -104,6 +104,7 @@ def dedup_lines(
     batches: parts that make up docs, each of which is added to the runs in turn; docs itself where not given.
     """
     spark = docs.sparkSession
+    docs, back = aside(docs, id_col, text_col)
     runs = LineRuns(spark, min_chars=min_chars)
     for batch in batches or [docs]:
         runs.add(batch, text_col)
@@ -122,12 +123,13 @@ def dedup_lines(
     )
     n_lines = F.size(lines_of(text)).cast("long")
     out = joined.withColumn("_kept_lines", F.when(F.col("_drop").isNull(), lines_of(text)).otherwise(kept))
-    return (
+    out = (
         out.withColumn("_n_lines", n_lines)
         .withColumn("_n_dropped", n_lines - F.size("_kept_lines"))
         .withColumn("_kept", F.array_join("_kept_lines", "\n"))
         .drop("_drop", "_kept_lines")
     )
+    return back(out)
 
 
 def file_batches(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:

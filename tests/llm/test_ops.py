@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomark.llm import bpe, decontaminate, line_dedup, pii, queries, simhash
+from loomark.llm import bpe, decontaminate, langid, line_dedup, pii, queries, simhash
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -212,3 +212,26 @@ def test_pipeline(spark, odd, empty):
     assert c.run(spark, empty).collect() == []
     stay = c.simhash_stage(spark, spark.read.parquet(f"{odd}/documents.parquet"), odd).groupBy("doc_id", "text").count()
     assert stay.where(F.col("count") > 1).count() == 0
+
+
+CLASHING = ("_row", "_r", "_drop", "_kept_lines", "_kept", "_hits", "_key", "_n", "_aside_3", "lang_pred", "_lid_rejected", "h", "k", "a.b", "Text")
+
+
+def clashing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    return docs.select("*", *[F.lit(f"own {n}").alias(n) for n in CLASHING])
+
+
+@pytest.mark.parametrize("which", ["lines", "language", "decontamination"])
+def test_clashing_columns(spark, which):
+    docs, bench = clashing(spark), spark.createDataFrame([(1, "x" * 40)], "item_id long, text string")
+    out, added = {
+        "lines": lambda: (line_dedup.dedup_lines(docs), {"_n_lines", "_n_dropped", "_kept"}),
+        "language": lambda: (langid.classify(docs, {"en": b"the cat", "fr": b"le chat"}), {"lang_pred", "score", "margin", "rejected"}),
+        "decontamination": lambda: (decontaminate.find(docs, bench), {"_hits"}),
+    }[which]()
+    assert sorted(out.columns) == sorted({*docs.columns} | added)
+    rows = out.collect()
+    assert len(rows) == 60
+    for n in set(CLASHING) - added:
+        assert {r[n] for r in rows} == {f"own {n}"}
