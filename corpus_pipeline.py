@@ -7,12 +7,13 @@ docs. Between stages the rows are written as Parquet and read again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomark.llm import bpe, decontaminate, langid, line_dedup, simhash
-from loomark.llm.common import cut, remove, small, table
+from loomark.llm.common import aside, cut, remove, small, table
 
 #: Keys of rows that stay are broadcast up to this many (about 40 MB); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -20,12 +21,25 @@ BROADCAST_ROWS = 1_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def passing(stage: Stage) -> Stage:
+    """The stage, with all columns but those of documents set aside meanwhile, so that none clashes with its own."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held, back = aside(docs, "doc_id", "text", "lang", "source", "n_chars")
+        return back(stage(spark, held, sf_dir))
+
+    return run_stage
+
+
+@passing
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay."""
     found = langid.classify(docs, langid.fit(docs), prefix="_lid_")
     return found.where(~F.col("_lid_rejected")).select(*docs.columns)
 
 
+@passing
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their frequent lines; a null text stays null. n_chars, where there is one, follows."""
     found = line_dedup.dedup_lines(docs)
@@ -34,6 +48,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return found.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
+@passing
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the smallest doc_id stays, and one of rows that repeat it."""
     key = F.xxhash64("doc_id", "text")
@@ -47,6 +62,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*docs.columns)
 
 
+@passing
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
