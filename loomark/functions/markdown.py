@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from loomark.functions.html5 import Node, parse
 
 WS = "\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+LANGUAGE = re.compile(r"lang(?:uage)?-([A-Za-z0-9_\-+.#]+)")
 RUN = re.compile(f"[{WS}]+")
 # fixed values
 SKIPPED = frozenset(("script", "style", "noscript"))
@@ -23,7 +24,10 @@ PROTECTED = frozenset(("main", "article"))
 REMOVED = frozenset(("script", "style", "noscript", "applet", "link", "base"))
 EMBEDDED = frozenset(("iframe", "object", "embed"))
 SCHEMES = ("javascript:", "data:", "vbscript:", "file:", "about:")
+MARKS = {"left": "---", "center": ":---:", "right": "---:"}
 MAX_DEPTH = 1000
+#: Bytes of text from which the normaliser works on code as well.
+LARGE = 256 << 10
 RECURSION = 20 * MAX_DEPTH
 
 
@@ -81,77 +85,81 @@ def plain(node: Node, skip: frozenset = SKIPPED) -> str:
     return "".join(out)
 
 
+def collapse(line: str) -> str:
+    """Runs of blanks become one, but at the line's start and in inline code; code that is never closed goes on to the end."""
+    if "  " not in line:
+        return line
+    lead = len(line) - len(line.lstrip(" "))
+    out, code = [line[:lead]], ""
+    for x in re.split("(`+)", line[lead:]):
+        if x.startswith("`"):
+            code = "" if x == code else code or x
+        elif not code:
+            x = re.sub(" {2,}", " ", x)
+        out.append(x)
+    return "".join(out)
+
+
 def normalise(text: str) -> str:
-    """Trailing blanks, runs of blank lines and inner runs of blanks go, but not in code; one newline ends the text."""
+    """Blanks at line ends, all but one of a run of blank lines and inner runs of blanks go, though not in fenced code; one
+    newline ends the text. Texts over LARGE bytes lose blanks at line ends and blank lines in code as well."""
+    large = len(text) > LARGE or (4 * len(text) > LARGE and len(text.encode("utf-8", "replace")) > LARGE)
     out: list[str] = []
-    fence, blank = None, False
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        m = re.match(r" *(`{3,})", line) if "```" in line else None
-        if fence:
+    fence, blank = 0, False
+    for line in text.replace("\r\n", "\n").split("\n"):
+        run = 0
+        if "```" in line:
+            start = line.lstrip(WS)
+            run = len(start) - len(start.lstrip("`"))
+        trimmed = line.rstrip(WS)
+        if run >= 3 and not fence:
+            fence = run
+            out.append(trimmed)
+            blank = False
+        elif fence and run >= fence and not start[run:].strip(WS):
+            fence = 0
+            out.append(collapse(trimmed) if large else trimmed)
+            blank = False
+        elif fence and not large:
             out.append(line)
-            if m and len(m[1]) >= len(fence) and not line.strip(" `"):
-                fence = None
-            continue
-        if m:
-            fence = m[1]
-            out.append(line.rstrip(WS))
             blank = False
-            continue
-        line = line.rstrip(WS)
-        if not line:
-            blank = True
-            continue
-        if blank and out:
+        elif trimmed:
+            out.append(trimmed if fence else collapse(trimmed))
+            blank = False
+        elif not blank:
             out.append("")
-        blank = False
-        if "  " not in line:
-            out.append(line)
-            continue
-        lead = line[: len(line) - len(line.lstrip(" "))]
-        parts = re.split(r"(`+[^`]*`+)", line[len(lead) :])
-        out.append(lead + "".join(x if i % 2 else re.sub(" {2,}", " ", x) for i, x in enumerate(parts)))
-    return "\n".join(out).rstrip("\n") + "\n" if any(out) else ""
+            blank = True
+    while out and not out[-1]:
+        out.pop()
+    return "\n".join(out) + "\n"
 
 
 class Text:
-    """Text that grows at its end. It knows its last two characters and how many of its pieces are not blank, so that no
-    step reads or copies all of it."""
+    """Text that grows at its end. It knows its last two characters, so that no step reads or copies all of it."""
 
-    __slots__ = ("parts", "tail", "solid")
+    __slots__ = ("parts", "tail")
 
     def __init__(self):
         self.parts: list[str] = []
-        self.tail, self.solid = "", 0
+        self.tail = ""
 
     def __iadd__(self, s: str) -> "Text":
         if s:
             self.parts.append(s)
             self.tail = s[-2:] if len(s) > 1 else self.tail[-1:] + s
-            if s.strip(WS):
-                self.solid += 1
         return self
 
     def __str__(self) -> str:
         return "".join(self.parts)
 
-    def trim(self) -> None:
-        """Blanks at the end go."""
-        if not self.tail.endswith(" "):
-            return
-        parts = self.parts
-        while parts:
-            left = parts.pop().rstrip(" ")
-            if left:
-                parts.append(left)
-                break
-        self.tail = "".join(parts[-2:])[-2:]
-
     def gap(self) -> None:
         """A blank line before what follows, if anything stands before it."""
-        if self.solid:
-            self.trim()
-            if self.tail != "\n\n":
-                self += "\n" if self.tail.endswith("\n") else "\n\n"
+        if self.tail and self.tail != "\n\n":
+            self += "\n" if self.tail.endswith("\n") else "\n\n"
+
+    def close(self) -> None:
+        if self.tail != "\n\n":
+            self += "\n"
 
 
 class Writer:
@@ -159,15 +167,19 @@ class Writer:
         self.o, self.base, self.buf = options, base if options.resolve else None, Text()
 
     def url(self, raw: str | None) -> str | None:
-        if not raw or dangerous(raw):
-            return None
-        return resolve(raw, self.base)
+        return None if raw is None or dangerous(raw) else resolve(raw, self.base) if raw else raw
+
+    def link(self, raw: str | None, *labels: str | None) -> None:
+        """A line [label](url), the label the first that is not blank, else the url."""
+        if raw is not None and (to := self.url(raw.strip(WS))) is not None:
+            name = next((x.strip(WS) for x in labels if x and x.strip(WS)), to)
+            self.buf += f"[{label(name)}]({destination(to)})\n"
 
     def text(self, data: str) -> None:
         body, buf = squeeze(data), self.buf
-        apart = bool(buf.tail) and buf.tail[-1] not in WS
+        apart = bool(buf.tail) and buf.tail[-1] != " "
         if not body:
-            if apart and data:
+            if apart:
                 buf += " "
             return
         buf += (" " if apart and data[0] in WS else "") + body + (" " if data[-1] in WS else "")
@@ -196,26 +208,24 @@ class Writer:
             self.buf += "#" * int(t[1]) + " " + squeeze(self.inner(n, depth)) + "\n\n"
         elif t == "p":
             self.buf.gap()
-            before = self.buf.solid
+            before = len(self.buf.parts)
             self.walk(n, depth)
-            if self.buf.solid > before:
+            if len(self.buf.parts) > before:
                 self.buf += "\n\n"
         elif t in ("ul", "ol"):
-            self.buf.gap()
             self.items(n, 0, depth)
-            self.buf += "\n"
         elif t == "li":
             self.item(n, "- ", 0, depth)
         elif t == "pre":
             self.buf.gap()
-            code = next((x for x in n.children if isinstance(x, Node) and x.tag == "code"), n)
-            found = re.search(r"(?:^|\s)lang(?:uage)?-([A-Za-z0-9_\-+.#]+)(?:\s|$)", code.attrs.get("class", ""))
-            raw = plain(n, frozenset())
+            classes = [c for x in n.children if isinstance(x, Node) and x.tag == "code" for c in x.attrs.get("class", "").split()]
+            found = next((m[1] for m in map(LANGUAGE.fullmatch, classes) if m), "")
+            raw = plain(n)
             run = max((len(x) for x in re.findall("`+", raw)), default=0)
             fence = "`" * (max(run, 3) + 1 if run else 3)
-            self.buf += f"{fence}{found[1] if found else ''}\n{raw}{'' if raw.endswith(chr(10)) else chr(10)}{fence}\n\n"
+            self.buf += f"{fence}{found}\n{raw}{'' if raw.endswith(chr(10)) else chr(10)}{fence}\n\n"
         elif t == "code":
-            raw = plain(n, frozenset())
+            raw = plain(n)
             fence = "`" * (max((len(x) for x in re.findall("`+", raw)), default=0) + 1)
             self.buf += fence + raw + fence
         elif t in ("strong", "b", "em", "i"):
@@ -229,101 +239,122 @@ class Writer:
                 self.buf += squeeze(raw)
             elif squeeze(raw):
                 to = self.url(n.attrs["href"])
-                self.buf += f"[{label(squeeze(raw))}]({destination(to)})" if to else squeeze(raw)
+                self.buf += label(squeeze(raw)) if to is None else f"[{label(squeeze(raw))}]({destination(to)})"
         elif t == "img":
-            alt, to = n.attrs.get("alt", "").strip(WS), self.url(n.attrs.get("src"))
+            alt, to = n.attrs.get("alt", ""), self.url(n.attrs.get("src"))
             title = n.attrs.get("title", "").strip(WS)
             title = ' "' + title.replace("\\", "\\\\").replace('"', '\\"') + '"' if title else ""
-            self.buf += f"![{label(alt)}]({destination(to)}{title})" if to else alt
+            self.buf += label(alt.strip(WS)) if to is None else f"![{label(alt)}]({destination(to)}{title})"
         elif t == "table" and self.o.gfm and self.o.preserve_tables:
             self.table(n, depth)
         elif t in ("video", "audio"):
-            if to := self.url(n.attrs.get("src")):
-                self.buf += f"[{label(n.attrs.get('title') or to)}]({destination(to)})\n"
-            if to := self.url(n.attrs.get("poster")):
+            self.link(n.attrs.get("src"), n.attrs.get("title"))
+            if t == "video" and (to := self.url(n.attrs["poster"].strip(WS) if "poster" in n.attrs else None)) is not None:
                 self.buf += f"![]({destination(to)})\n"
             self.walk(n, depth)
-        elif t in ("source", "track", "area"):
-            name = {"source": n.attrs.get("type"), "track": n.attrs.get("label"), "area": n.attrs.get("alt") or n.attrs.get("title")}[t]
-            if to := self.url(n.attrs.get("href" if t == "area" else "src")):
-                self.buf += f"[{label(name or to)}]({destination(to)})\n"
+        elif t == "source":
+            self.link(n.attrs.get("src"), n.attrs.get("type"))
+        elif t == "track":
+            self.link(n.attrs.get("src"), n.attrs.get("label"))
+        elif t == "area":
+            self.link(n.attrs.get("href"), n.attrs.get("alt"), n.attrs.get("title"))
         elif t in EMBEDDED:
-            if to := self.url(n.attrs.get("data" if t == "object" else "src")):
-                self.buf += f"[{label(n.attrs.get('title') or to)}]({destination(to)})\n"
+            self.link(n.attrs.get("data" if t == "object" else "src"), n.attrs.get("title"))
             self.walk(n, depth)
         elif t == "input":
             kind = n.attrs.get("type", "").lower()
-            value = "" if kind in ("hidden", "image") else n.attrs.get("value", "") if kind in ("submit", "reset") else n.attrs.get("aria-label") or n.attrs.get("placeholder") or n.attrs.get("value", "")
-            if value.strip(WS):
-                self.buf += squeeze(value) + " "
+            shown = () if kind in ("hidden", "image") else ("value",) if kind in ("submit", "reset") else ("aria-label", "placeholder", "value")
+            value = next((n.attrs[k] for k in shown if k in n.attrs), "").strip(WS)
+            if value:
+                self.buf += value + " "
         else:
             self.walk(n, depth)
 
     def items(self, n: Node, level: int, depth: int) -> None:
+        self.buf.gap()
         for x in n.children:
             if isinstance(x, Node) and x.tag == "li":
                 self.item(x, "1. " if n.tag == "ol" else "- ", level, depth + 1)
+        self.buf.close()
 
     def item(self, n: Node, marker: str, level: int, depth: int) -> None:
+        if depth > MAX_DEPTH:
+            raise ValueError("nesting is too deep")
         held, self.buf = self.buf, Text()
-        nested: list[Node] = []
         for x in n.children:
             if isinstance(x, str):
                 self.text(x)
             elif x.tag in ("ul", "ol"):
-                nested.append(x)
+                if self.buf.tail and not self.buf.tail.endswith("\n"):
+                    self.buf += "\n"
+                self.items(x, level + 1, depth + 1)
             else:
                 self.element(x, depth + 1)
-        body, self.buf = str(self.buf).strip(WS), held
-        if self.buf.tail and not self.buf.tail.endswith("\n"):
-            self.buf += "\n"
+        body, self.buf = str(self.buf).strip("\n"), held
+        base = "  " * level
         first, *rest = body.split("\n")
-        pad = " " * len(marker)
-        lines = [(marker + first).rstrip(" ") if first else marker.rstrip(" "), *[pad + x if x and not x.startswith(pad) else x for x in rest]]
-        self.buf += "".join(f"{'  ' * level}{x}\n" if x else "\n" for x in lines)
-        for x in nested:
-            self.items(x, level + 1, depth + 1)
+        if first.lstrip(WS).startswith(("- ", "* ", "1. ")):  # an item's marker stands on a line of its own
+            first, rest = "", [first, *rest]
+        hang = base + " " * len(marker)
+        lines = [base + marker + first, *[hang + x if x and x[0] not in " \t" else x for x in rest]]
+        self.buf += "\n".join(lines) + "\n"
 
     def table(self, n: Node, depth: int) -> None:
-        rows: list[list[str]] = []
+        head: list[str] = []
         aligns: list[str | None] = []
-        head: list[list[str]] = []
+        rows: list[list[str]] = []
 
         def align(x: Node) -> str | None:
             if "align" in x.attrs:
-                a = x.attrs["align"].lower().strip()
+                value = x.attrs["align"].lower()
             else:
-                m = re.search(r"text-align\s*:\s*(\w+)", x.attrs.get("style", ""), re.I)
-                a = m[1].lower() if m else ""
-            return a if a in ("left", "right", "center") else None
+                pairs = (d.partition(":") for d in x.attrs.get("style", "").lower().split(";"))
+                value = next((v.strip(WS) for k, _, v in pairs if k.strip(WS) == "text-align"), "")
+            return value if value in MARKS else None
+
+        def cells(r: Node) -> list[tuple[str, Node]]:
+            return [(self.inner(c, 0).strip(WS), c) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")]
 
-        def take(x: Node, into: list) -> None:
-            cells = [c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th")]
-            if cells:
-                if not head and not rows and not any(aligns):
-                    aligns[:] = [align(c) for c in cells]
-                into.append([squeeze(self.inner(c, depth + 1).strip(WS).replace("\n", "<br>")).replace("|", "\\|") for c in cells])
+        def take(found: list[Node]) -> None:
+            """The first row is the head unless there is one."""
+            if found and not head:
+                title(found.pop(0))
+            rows.extend([text for text, _ in cells(r)] for r in found)
 
+        def title(r: Node) -> None:
+            for text, c in cells(r):
+                head.append(text)
+                aligns.append(align(c))
+
+        inner = lambda x, tag: [c for c in x.children if isinstance(c, Node) and c.tag == tag]
         for x in n.children:
-            if not isinstance(x, Node):
+            if isinstance(x, str):
                 continue
-            if x.tag == "colgroup":
-                aligns = [align(c) for c in x.children if isinstance(c, Node) and c.tag == "col" for _ in range(min(1000, max(1, int(c.attrs.get("span", "1")) if c.attrs.get("span", "1").isdigit() else 1)))]
-            elif x.tag in ("thead", "tbody"):
-                for r in x.children:
-                    if isinstance(r, Node) and r.tag == "tr":
-                        take(r, head if x.tag == "thead" and not head else rows)
+            if x.tag == "thead":
+                for r in inner(x, "tr")[:1]:
+                    title(r)
+            elif x.tag == "tbody":
+                take(inner(x, "tr"))
             elif x.tag == "tr":
-                take(x, rows)
-        if not head and rows:
-            head.append(rows.pop(0))
+                take([x])
+        self.buf.gap()
         if not head:
             return
-        width = max(map(len, head + rows))
-        line = lambda cells: "| " + " | ".join([*cells, *[""] * (width - len(cells))]) + " |\n"
-        mark = {"left": ":---", "right": "---:", "center": ":---:", None: "---"}
-        self.buf.gap()
-        self.buf += line(head[0]) + line([mark[a] for a in [*aligns, *[None] * width][:width]]) + "".join(map(line, rows)) + "\n"
+        at = 0
+        for group in inner(n, "colgroup"):
+            for c in inner(group, "col"):
+                span, own = c.attrs.get("span", "1"), align(c)
+                for _ in range(min(1000, max(1, int(span) if span.isascii() and span.isdigit() else 1))):
+                    aligns += [None] * (own is not None and at >= len(aligns))
+                    if own is not None:
+                        aligns[min(at, len(aligns) - 1)] = own
+                    at += 1
+        width = max(map(len, [head, *rows]))
+        escape = lambda c: c.replace("\r\n", "\n").replace("\r", "\n").replace("\n", "<br>").replace("|", "\\|")
+        line = lambda r: "|" + "".join(f" {x} |" for x in [*map(escape, r), *[""] * (width - len(r))]) + "\n"
+        rule = [MARKS.get(a, "---") for a in [*aligns, *[None] * width][:width]]
+        self.buf += line(head) + "|" + "".join(f" {x} |" for x in rule) + "\n" + "".join(map(line, rows))
+        self.buf.close()
 
 
 def find(node: Node, tag: str):
@@ -370,9 +401,9 @@ def front_matter(meta: dict[str, str | None]) -> str:
 
 
 def convert(html: str | None, base: str | None = None, options: Options = Options()) -> str | None:
-    """Markdown of a page; null for null or nesting over MAX_DEPTH."""
-    if html is None:
-        return None
+    """Markdown of a page; null for null or nesting over MAX_DEPTH; empty for empty. A page without content is one newline."""
+    if not html:
+        return html
     tree = parse(html)
     w = Writer(options, base)
     if sys.getrecursionlimit() < RECURSION:
@@ -381,8 +412,7 @@ def convert(html: str | None, base: str | None = None, options: Options = Option
         w.walk(tree)
     except ValueError:
         return None
-    body = normalise(str(w.buf).lstrip(WS))
-    return front_matter(metadata(tree, base)) + body if options.front_matter else body
+    return normalise((front_matter(metadata(tree, base)) if options.front_matter else "") + str(w.buf))
 
 
 def html_to_markdown(html: Column, base: Column | None = None, options: Options = Options()) -> Column:
