@@ -235,3 +235,14 @@ def test_clashing_columns(spark, which):
     assert len(rows) == 60
     for n in set(CLASHING) - added:
         assert {r[n] for r in rows} == {f"own {n}"}
+
+
+def test_clashing_columns_in_stages(spark):
+    import corpus_pipeline as c
+
+    docs = clashing(spark)
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in CLASHING), name
