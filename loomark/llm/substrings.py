@@ -9,8 +9,10 @@ need to be sorted, not every suffix.
 3. The bucket's members are refined by the identifier of the bytes around them, over all strings of the anchor: members
    that agree are duplicates as a whole. A bucket without other members is done.
 4. What is left is refined by sorting on the bytes before the anchor, then on those after it. Neighbours in either order give
-   matches of their own and bound how far any match can reach; offsets within the bounds that no neighbour has settled are
-   refined by the identifiers of their strings.
+   matches of their own and bound how far any match can reach. A member alone in its class is unsettled if its bounds hold
+   offsets that no one neighbour proves; in buckets that have such members, all members' offsets between the bounds of the
+   unsettled ones are refined by the identifiers of their strings, those of settled members and of representatives too:
+   an unsettled member may match only such as are not its neighbours.
 
 Identifiers are 64-bit polynomial hashes over random bytes' values, finally mixed. Sorting is by range over bucket and bytes,
 so that a bucket with many members spreads over tasks; at a range's border bounds are taken as open. Memory of a task is that
@@ -316,7 +318,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for s in "lr":
         for i in (0, 1):
             settled = settled | ((F.col(f"{s}f{i}") <= a) & (F.col(f"{s}t{i}") >= b))
-    opened = bounds.where((a <= b) & ~(settled & F.col("single"))).select("k1", "k2", "p", "bucket", "l", "r", a.alias("a"), b.alias("b"))
+    within = bounds.where(a <= b).select("k1", "k2", "p", "bucket", "l", "r", a.alias("a"), b.alias("b"), (settled | ~F.col("single")).alias("settled"))
+    # only what an unsettled member may match is compared with it, be it settled itself or not
+    unsettled, _ = cut(within.where("not settled").groupBy("bucket").agg(F.min("a").alias("_a"), F.max("b").alias("_b")), "unsettled")
+    opened = within.join(_hint(unsettled, BROADCAST_ROWS), "bucket")
+    opened = opened.select("k1", "k2", "p", "bucket", "l", "r", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b")).where("a <= b")
     strings = opened.mapInArrow(_open_windows, "k1 long, k2 int, start long, string long")
     strings, strings_path = cut(strings, "strings")
     twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("string")

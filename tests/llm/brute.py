@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 PII = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
@@ -40,3 +41,17 @@ def pii(text: str | None) -> tuple[dict[str, int], str]:
         n[kind] = len(found)
         spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in found]
     return n, hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest()
+
+
+def repeats(texts: list[bytes], length: int = 200) -> list[tuple[int, int, str]]:
+    """Bytes removed, spans of them and the digest of what is kept, for each text."""
+    seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        m = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                m[k : k + length] = b"\1" * length
+        kept = bytes(x for x, y in zip(t, m) if not y)
+        out.append((sum(m), sum(1 for k in range(len(m)) if m[k] and not (k and m[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return out

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomark.llm import bpe, decontaminate, langid, line_dedup, pii, queries, simhash
+from loomark.llm import bpe, decontaminate, langid, line_dedup, pii, queries, simhash, substrings
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +164,31 @@ def test_op8(spark, odd, which):
     assert Counter(tuple(r) for r in queries.QUERIES["op8_substrings"](spark, sf).collect()) == want
 
 
+def test_op8_match_with_settled_members(spark, tmp_path):
+    """X shares a string only with Y and Z, which settle each other and are not its neighbours: its neighbours in the two
+    orders are W and V. The anchor's hash is low enough for it to be that of every string around it."""
+    rng = np.random.default_rng(3)
+    alphabet = np.frombuffer(b"bcdefghijklmnopqrstuvwxyz", np.uint8)
+    some = lambda n: rng.choice(alphabet, n).tobytes()
+    raw = rng.choice(alphabet, 400_000)
+    at = np.arange(len(raw) - substrings.Q + 1)
+    best = int(substrings._ids(substrings._sums(raw), at, at + substrings.Q).argmin())
+    anchor, a, b, y, y2 = raw[best : best + substrings.Q].tobytes(), some(100), some(100), some(25), some(25)
+    around = {  # bytes before the anchor, nearest first, and after it
+        "X": (a + b"m" + some(60), b + b"m" + some(60)), "W": (a + b"p" + some(60), some(160)), "V": (some(160), b + b"p" + some(60)),
+        "Y": (a + b"y" + y + b"1" + some(40), b + b"y" + y2 + b"1" + some(40)), "Z": (a + b"y" + y + b"2" + some(40), b + b"y" + y2 + b"2" + some(40)),
+    }
+    texts = [left[::-1] + anchor + right for left, right in around.values()]
+    for _ in range(40):  # other buckets, on both sides of this one
+        same = some(500)
+        texts += [some(50) + same + some(50), some(60) + same + some(40)]
+    spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.repeats(texts)
+    assert all(want[i][0] for i in (0, 3, 4)) and not want[1][0] and not want[2][0]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op8_substrings"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_op9(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.QUERIES["op9_langid"](spark, "/root/testdata/sf0.01").collect()
