@@ -136,6 +136,16 @@ COVERAGE_SQL = """WITH r AS (SELECT page_id - CASE WHEN page_id % 9 = 0 THEN 1 E
 SELECT * FROM (SELECT scenario, CASE WHEN n IS NULL THEN 'missing' WHEN w IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS problem FROM r FULL JOIN w USING (scenario)) WHERE problem IS NOT NULL"""
 
 
+def table_coverage(spark, sf_dir):
+    """Every page's id, some twice, against every document's; evidence_coverage takes a part of both."""
+    rows = pages(spark, sf_dir).select((F.col("page_id") - F.when(F.col("page_id") % 9 == 0, 1).otherwise(0)).alias("scenario"))
+    return R.coverage(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scenario")), "scenario")
+
+
+TABLE_COVERAGE_SQL = """WITH r AS (SELECT page_id - CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END AS scenario, count(*) AS n FROM pages GROUP BY 1), w AS (SELECT DISTINCT doc_id AS scenario, TRUE AS w FROM documents)
+SELECT * FROM (SELECT scenario, CASE WHEN n IS NULL THEN 'missing' WHEN w IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS problem FROM r FULL JOIN w USING (scenario)) WHERE problem IS NOT NULL"""
+
+
 def report_keys(spark, sf_dir):
     """Keys of JSON texts that are not kebab-case, at any depth, and the fields that they lack."""
     k = pick(F.col("event_id") % 4, '{"a-b": [{"cD": "x\\": y"}], "z_1": 2}', '{"k": {"ok-1": "q:"}}', '[{"9a": 1}]', "{props}")
@@ -296,7 +306,7 @@ PARITY_SQL = "SELECT count(*) AS n, 1.0::DOUBLE AS pass_rate, 1.0::DOUBLE AS cor
 
 _ALL = {
     "corpus_summary": (corpus_summary, SUMMARY_SQL), "report_examples": (report_examples, EXAMPLES_SQL), "threshold_verdicts": (threshold_verdicts, TIERS_SQL), "overall_verdicts": (overall_verdicts, OVERALL_SQL),
-    "quality_verdicts": (quality_verdicts, QUALITY_SQL), "median_runs": (median_runs, MEDIAN_SQL), "merged_reports": (merged_reports, MERGED_SQL), "evidence_coverage": (evidence_coverage, COVERAGE_SQL),
+    "quality_verdicts": (quality_verdicts, QUALITY_SQL), "median_runs": (median_runs, MEDIAN_SQL), "merged_reports": (merged_reports, MERGED_SQL), "evidence_coverage": (evidence_coverage, COVERAGE_SQL), "table_coverage": (table_coverage, TABLE_COVERAGE_SQL),
     "report_keys": (report_keys, KEYS_SQL), "load_results": (load_results, LOAD_SQL), "request_logs": (request_logs, LOGS_SQL), "response_checks": (response_checks, RESPONSES_SQL), "known_differences": (known_differences, KNOWN_SQL),
     "provider_tokens": (provider_tokens, PROVIDER_SQL), "ip_networks": (ip_networks, NETWORKS_SQL), "valid_hosts": (valid_hosts, HOSTS_SQL), "digest_check": (digests, DIGESTS_SQL), "page_events": (page_events, EVENTS_SQL),
     "page_tables": (page_tables, TABLES_SQL), "page_meta": (page_meta, META_SQL), "decompression_counters": (decompression_counters, DECOMPRESSION_COUNTERS_SQL), "path_hits": (path_hits, PATH_HITS_SQL), "parity": (parity, PARITY_SQL),

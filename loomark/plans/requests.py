@@ -114,6 +114,19 @@ FROM documents
 """
 
 
+def text_labels(spark, sf_dir):
+    """Labels of whole texts, as digests; text_functions gives that of the first 40 characters."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    label = X.normalize_label(F.col("text"))
+    return d.select("doc_id", F.sha2(label, 256).alias("label_sha256"), F.char_length(label).cast("long").alias("label_chars"))
+
+
+LABELS_SQL = r"""
+SELECT doc_id, sha256(label) AS label_sha256, length(label) AS label_chars FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[- ]', '_', 'g')), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS label FROM documents)
+"""
+
+
 def page_functions(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     h = F.col("html")
@@ -126,5 +139,5 @@ SELECT page_id, strlen(html) * 7 + (length(html) - length(replace(html, '<', '')
 FROM pages
 """
 
-QUERIES = {"accept_negotiation": accept, "eligibility": eligible, "conditional_requests": conditional, "base_url": base_urls, "decision_chain": chain, "text_functions": text_functions, "page_functions": page_functions}
-ORACLE_SQL = {"accept_negotiation": ACCEPT_SQL, "eligibility": ELIGIBLE_SQL, "conditional_requests": CONDITIONAL_SQL, "base_url": BASE_SQL, "decision_chain": CHAIN_SQL, "text_functions": TEXT_SQL, "page_functions": PAGE_SQL}
+QUERIES = {"accept_negotiation": accept, "eligibility": eligible, "conditional_requests": conditional, "base_url": base_urls, "decision_chain": chain, "text_functions": text_functions, "text_labels": text_labels, "page_functions": page_functions}
+ORACLE_SQL = {"accept_negotiation": ACCEPT_SQL, "eligibility": ELIGIBLE_SQL, "conditional_requests": CONDITIONAL_SQL, "base_url": BASE_SQL, "decision_chain": CHAIN_SQL, "text_functions": TEXT_SQL, "text_labels": LABELS_SQL, "page_functions": PAGE_SQL}

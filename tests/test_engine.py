@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -41,6 +42,18 @@ def test_query_equals_sql(spark, db, name, query, sql):
     assert got == want
 
 
+def test_whole_texts_and_tables(spark, tmp_path):
+    texts = ["x" * 40 + " One", "x" * 40 + " two", "A-b  c_"]
+    spark.createDataFrame(list(enumerate(texts, 7)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "u", "h") for i in (4, 7, 8, 9)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    labels = ["x" * 40 + "_one", "x" * 40 + "_two", "a_b_c"]
+    got = {r.doc_id: (r.label_sha256, r.label_chars) for r in requests.QUERIES["text_labels"](spark, str(tmp_path)).collect()}
+    assert got == {i: (sha(t), len(t)) for i, t in enumerate(labels, 7)}
+    got = {r.scenario: r.problem for r in reports.QUERIES["table_coverage"](spark, str(tmp_path)).collect()}
+    assert got == {4: "unknown", 8: "duplicate", 9: "missing"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
