@@ -1,12 +1,13 @@
 """Media columns: audio as 8-bit PCM WAV, and features of it.
 
 store() wraps payload bytes as a mono WAV of 8-bit samples, in DataFrame functions, and writes the column. features()
-reads the stored bytes back and computes, block by block so that memory doesn't grow with the recording: polyphase
-resampling (UP/DOWN), overlapped frames (FRAME samples, HOP apart), log-mel energies of MELS bands, and speech-like
-segments by hysteresis over the frames' energy (begin above HIGH, end below LOW, in dB around the mean).
+reads the stored bytes back and computes, block by block: polyphase resampling (UP/DOWN), overlapped frames (FRAME samples,
+HOP apart), log-mel energies of MELS bands, and speech-like segments by hysteresis over the frames' energy (begin above
+HIGH, end below LOW, in dB around the mean). Memory is that of a recording (its samples, one energy a frame, the patches).
 
-The log-mel frames are stored as fixed-shape tensors of PATCH x MELS with the time span of each; tensor_table() gives a
-document's patches as a pyarrow table whose column has the fixed_shape_tensor type.
+The log-mel frames are stored as fixed-shape tensors of PATCH x MELS half-precision numbers with the time span of each: the
+column `tensors` holds an Arrow IPC stream of (start_ms, end_ms, log_mel), log_mel being of the fixed_shape_tensor type;
+tensor_table() reads it.
 
 Defined cases: a null text is empty; every payload is padded with blanks to a positive multiple of ALIGN bytes; the last
 patch is padded with zeros; equal payloads give equal values (double precision, fixed block borders); null ids, repeated
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import cut, table
+from loomark.llm.common import cut, remove, table
 
 ALIGN = 192
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 24
@@ -60,13 +61,13 @@ def samples_of(media: bytes) -> memoryview:
     raise ValueError("no data chunk")
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media), written to the shared folder and read back."""
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(id, n_bytes, media), written to the shared folder and read back, and its path."""
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     n = F.octet_length(raw)
     pad = F.greatest(F.lit(ALIGN), F.ceil(n / ALIGN) * ALIGN) - n
     payload = F.concat(raw, F.encode(F.repeat(F.lit(" "), pad.cast("int")), "UTF-8"))
-    return cut(docs.select(F.col(id_col), n.cast("long").alias("n_bytes"), wav(payload).alias("media")), "media")[0]
+    return cut(docs.select(F.col(id_col), n.cast("long").alias("n_bytes"), wav(payload).alias("media")), "media", compression="zstd")
 
 
 @lru_cache(1)
@@ -131,69 +132,86 @@ def millis(frame: int) -> int:
     return round(frame * HOP * 1000 * DOWN / (RATE * UP))
 
 
-def analyse(media: bytes, tensors: bool = True) -> tuple[bytes, str, list, list]:
-    """Payload, feature string, patches [(start_ms, end_ms, PATCH x MELS floats)], segments [(start_ms, end_ms)]."""
+@lru_cache(1)
+def _tensor_schema() -> pa.Schema:
+    kind = pa.fixed_shape_tensor(pa.float16(), (PATCH, MELS))
+    return pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("log_mel", kind)])
+
+
+def tensor_stream(frames: np.ndarray) -> bytes:
+    """Frames (n, MELS) as an Arrow IPC stream of patches with their time spans; the last patch is padded with zeros."""
+    n, schema = len(frames), _tensor_schema()
+    first = np.arange(0, n, PATCH)
+    flat = np.zeros((len(first) * PATCH, MELS), np.float16)
+    flat[:n] = frames
+    held = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), PATCH * MELS)
+    spans = [pa.array([millis(int(f)) for f in at], pa.int64()) for at in (first, np.minimum(first + PATCH, n))]
+    batch = pa.record_batch([*spans, pa.ExtensionArray.from_storage(schema.field(2).type, held)], schema=schema)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def tensor_table(stream: bytes) -> pa.Table:
+    """A stored stream as a table (start_ms, end_ms, log_mel)."""
+    return pa.ipc.open_stream(stream).read_all()
+
+
+def analyse(media: bytes) -> tuple[bytes, str, bytes, list[tuple[int, int]]]:
+    """Payload, feature string, tensor stream, segments [(start_ms, end_ms)]."""
     payload = samples_of(media)
-    total, n, energy, held, patches = np.zeros(MELS), 0, [], [], []
-    for part in log_mel(payload):
+    parts = list(log_mel(payload))
+    n = sum(map(len, parts))
+    total = np.zeros(MELS)
+    for part in parts:
         total += part[:, :MELS].sum(0)
-        n += len(part)
-        energy.append(part[:, MELS])
-        if tensors:
-            held.append(part[:, :MELS].astype(np.float32))
-    found = segments(np.concatenate(energy))
-    if tensors:
-        frames = np.concatenate(held)
-        for i in range(0, n, PATCH):
-            patch = np.zeros((PATCH, MELS), np.float32)
-            patch[: len(frames[i : i + PATCH])] = frames[i : i + PATCH]
-            patches.append((millis(i), millis(min(n, i + PATCH)), patch.ravel()))
+    found = segments(np.concatenate([part[:, MELS] for part in parts]))
     feature = f"{n}:{len(found)}:{sum(b - a for a, b in found)}:" + ",".join(f"{x:.2f}" for x in np.round(total / n, 2) + 0.0)
-    return bytes(payload), feature, patches, [(millis(a), millis(b)) for a, b in found]
-
+    frames = np.concatenate([part[:, :MELS] for part in parts])
+    return bytes(payload), feature, tensor_stream(frames), [(millis(a), millis(b)) for a, b in found]
 
-def tensor_table(patches: list) -> pa.Table:
-    """Patches as a table (start_ms, end_ms, log_mel), log_mel being of fixed_shape_tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
-    flat = pa.array(np.concatenate([p[2] for p in patches]) if patches else [], pa.float32())
-    store = pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS)
-    return pa.table({"start_ms": pa.array([p[0] for p in patches], pa.int64()), "end_ms": pa.array([p[1] for p in patches], pa.int64()), "log_mel": pa.ExtensionArray.from_storage(kind, store)})
 
-
-def features(media: DataFrame, id_col: str = "doc_id", tensors: bool = True) -> DataFrame:
-    """(id, n_bytes, media, payload, feature, segments) and, with tensors, patches (start_ms, end_ms, log_mel)."""
-    rows = media.select(id_col, "n_bytes", "media")
-    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_bytes long, media_bytes long, payload binary, feature string, segments array<struct<start_ms:long,end_ms:long>>"
-    schema += ", patches array<struct<start_ms:long,end_ms:long,log_mel:array<float>>>" * tensors
+def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, media_bytes, media_sha256, payload, feature, segments, tensors) of the stored bytes."""
+    # the digest is of the stored column itself
+    rows = media.select(id_col, "n_bytes", "media", F.sha2("media", 256).alias("media_sha256"))
     span = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
-    patch = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("log_mel", pa.list_(pa.float32()))])
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_bytes long, media_bytes long, media_sha256 string, payload binary, feature string, segments array<struct<start_ms:long,end_ms:long>>, tensors binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 size = [len(x.as_buffer()) for x in part.column(2)]
-                got = [analyse(x.as_buffer(), tensors) for x in part.column(2)]
-                columns = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string()), pa.array([[dict(start_ms=a, end_ms=b) for a, b in g[3]] for g in got], pa.list_(span))]
-                names = [id_col, "n_bytes", "media_bytes", "payload", "feature", "segments"]
-                if tensors:
-                    columns.append(pa.array([[dict(start_ms=a, end_ms=b, log_mel=v) for a, b, v in g[2]] for g in got], pa.list_(patch)))
-                    names.append("patches")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                got = [analyse(x.as_buffer()) for x in part.column(2)]
+                found = [[dict(start_ms=a, end_ms=b) for a, b in g[3]] for g in got]
+                columns = [part.column(0), part.column(1), pa.array(size, pa.int64()), part.column(3), *[pa.array([g[k] for g in got], t) for k, t in ((0, pa.binary()), (1, pa.string()))], pa.array(found, pa.list_(span)), pa.array([g[2] for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "media_bytes", "media_sha256", "payload", "feature", "segments", "tensors"])
 
     return rows.mapInArrow(run, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features(store(table(spark, sf_dir, "documents")), tensors=False)
+    media, media_path = store(table(spark, sf_dir, "documents"))
+    found = features(media)
     payload = F.col("payload")
-    return found.select(
+    digests = found.select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(F.substring(payload, F.octet_length(payload) - 15, F.lit(16))).alias("tail_crc32"),
         "media_bytes",
-        F.sha2(wav(payload), 256).alias("media_sha256"),
+        "media_sha256",
         "feature",
+        "segments",
+        "tensors",
+    )
+    # the tensor column is stored, and what the query says of it is read from there
+    stored, _ = cut(digests, "tensors", compression="zstd")
+    remove(spark, media_path)
+    spans = F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["start_ms"], s["end_ms"])), ",")
+    return stored.select(
+        *digests.columns[:-2], spans.alias("segments"), F.octet_length("tensors").cast("long").alias("tensor_bytes"), F.sha2("tensors", 256).alias("tensors_sha256")
     )

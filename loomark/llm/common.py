@@ -49,12 +49,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomark/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, str]:
+def cut(df: DataFrame, name: str, path: str | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it back: later reads don't recompute it,
     also after an executor is lost. Returns the reread frame and its path."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**({"compression": compression} if compression else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -55,3 +55,42 @@ def repeats(texts: list[bytes], length: int = 200) -> list[tuple[int, int, str]]
         kept = bytes(x for x, y in zip(t, m) if not y)
         out.append((sum(m), sum(1 for k in range(len(m)) if m[k] and not (k and m[k - 1])), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def audio(payload: bytes) -> tuple[int, list[tuple[int, int]], list[float]]:
+    """Frames, segments and mean log-mel energies of 8-bit samples at 8 kHz, resampled to 6 kHz: whole-signal convolution,
+    frame by frame. Only the constants are the operator's."""
+    import numpy as np
+
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    t = np.arange(72) - 35.5
+    h = np.sinc(t / 4) / 4 * np.hamming(72) * 3
+    up = np.zeros(len(x) * 3)
+    up[::3] = x
+    y = np.convolve(up, h)[: len(up)][::4]
+    window = np.hanning(257)[:-1]
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 3000 / 700), 22) / 2595) - 1)
+    freq = np.arange(129) * 6000 / 256
+    starts = list(range(0, len(y) - 255, 128))
+    if not starts or starts[-1] + 128 < len(y):
+        starts.append(starts[-1] + 128 if starts else 0)
+    logs, energy = [], []
+    for s in starts:
+        frame = y[s : s + 256]
+        frame = np.pad(frame, (0, 256 - len(frame))) * window
+        power = [abs(z) ** 2 for z in np.fft.rfft(frame)]
+        row = []
+        for a, b, c in zip(edges, edges[1:], edges[2:]):
+            row.append(np.log(sum(p * max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, freq)) + 1e-6))
+        logs.append(row)
+        energy.append(10 * np.log10(sum(power) + 1e-6))
+    mean, on, begin, segments = sum(energy) / len(energy), False, 0, []
+    for i, e in enumerate(energy):
+        if not on and e > mean + 1:
+            on, begin = True, i
+        elif on and e < mean - 1:
+            on = False
+            segments.append((begin, i))
+    if on:
+        segments.append((begin, len(energy)))
+    return len(energy), segments, list(np.mean(logs, axis=0))

@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomark.llm import bpe, decontaminate, langid, line_dedup, pii, queries, simhash, substrings
+from loomark.llm import audio, bpe, decontaminate, langid, line_dedup, pii, queries, simhash, substrings
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -112,14 +113,44 @@ def test_bpe_offsets(spark):
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
 def test_op5(spark, odd, which):
+    """All columns but the feature's own against plain code; the feature against brute.audio()."""
     sf = SF if which == "sf" else odd
-    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) for r in queries.QUERIES["op5_audio"](spark, sf).collect())
-    want = Counter()
+    rows = queries.QUERIES["op5_audio"](spark, sf).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows)
+    want, features = Counter(), {}
     for r in table(spark, sf):
         b = (r.text or "").encode()
         p = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
-        want[(r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(p) + 44)] += 1
+        head = b"RIFF" + (len(p) + 36).to_bytes(4, "little") + b"WAVEfmt \x10\0\0\0\x01\0\x01\0\x40\x1f\0\0\x40\x1f\0\0\x01\0\x08\0data" + len(p).to_bytes(4, "little")
+        want[(r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(p) + 44, hashlib.sha256(head + p).hexdigest())] += 1
+        features[hashlib.sha256(p).hexdigest()] = p
     assert got == want
+    for digest, p in list(features.items())[:20]:
+        n, segments, energies = brute.audio(p)
+        own = {(r.feature, r.segments) for r in rows if r.payload_sha256 == digest}
+        assert len(own) == 1
+        feature, spans = own.pop()
+        count, _, _, mels = feature.split(":")
+        assert int(count) == n and spans == ",".join(f"{round(a * 128 / 6)}:{round(b * 128 / 6)}" for a, b in segments)
+        assert np.allclose([float(x) for x in mels.split(",")], energies, atol=0.011)
+
+
+def test_audio_tensors(spark):
+    docs = spark.createDataFrame([(1, "a long text " * 1000), (2, "short"), (3, "a long text " * 1000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in audio.features(audio.store(docs)[0]).collect()}
+    t = audio.tensor_table(rows[1].tensors)
+    assert isinstance(t.schema.field("log_mel").type, pa.FixedShapeTensorType) and t.schema.field("log_mel").type.shape == [audio.PATCH, audio.MELS]
+    frames = np.concatenate(list(audio.log_mel(audio.samples_of(audio_bytes(b"a long text " * 1000)))))[:, : audio.MELS]
+    flat = t.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert np.allclose(flat[: len(frames)], frames, atol=0.02) and not flat[len(frames) :].any()
+    starts, ends = t.column("start_ms").to_pylist(), t.column("end_ms").to_pylist()
+    assert starts[0] == 0 and starts[1:] == ends[:-1] and ends[-1] == audio.millis(len(frames))
+    assert rows[1].tensors == rows[3].tensors and audio.tensor_table(rows[2].tensors).num_rows == 1
+
+
+def audio_bytes(b):
+    p = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+    return b"RIFF" + (len(p) + 36).to_bytes(4, "little") + b"WAVEdata" + len(p).to_bytes(4, "little") + p
 
 
 def test_op6(spark):
