@@ -5,9 +5,9 @@ so that the merges are those of a rank-driven encoder. Text is cut into pieces b
 batch goes through the tokenizer once and stays in a bounded cache. Ids are little-endian unsigned 32-bit integers in a
 BINARY column, which Spark hashes, stores and measures itself.
 
-Decoding reverses the byte table: an id gives bytes, and the bytes of a document are joined before they are read as
-UTF-8, so that characters split over several tokens come back whole. offsets() maps a document's tokens to character
-spans; tokens that share a split character share its position.
+Decoding reverses the byte table: an id gives its token in the table's characters, a document's tokens are joined, and each
+character goes back to its byte; only then are the bytes read as UTF-8, so that characters split over several tokens come
+back whole. offsets() maps a document's tokens to character spans; tokens that share a split character share its position.
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to no bytes; null ids and repeated rows are
 kept row by row; an empty table gives no rows; other columns are dropped; very long texts are cut piece by piece, and
@@ -108,27 +108,49 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-@lru_cache(2)
-def bytes_of_ids(path: str) -> list[bytes]:
-    ranks = load_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for t, r in ranks.items():
-        out[r] = t
+def inverse_table() -> np.ndarray:
+    """The byte of each character of byte_table(), by code point."""
+    out = np.zeros(512, np.uint8)
+    out[[ord(c) for c in byte_table()]] = np.arange(256)
     return out
 
 
+class Reverse:
+    """The vocabulary by id: tokens in the byte table's characters, and what offsets need of them."""
+
+    def __init__(self, path: str):
+        chars, ranks = byte_table(), load_ranks(path)
+        n = max(ranks.values()) + 1
+        self.inverse, self.names = inverse_table(), [""] * n
+        #: Characters that begin in a token, and whether its first byte belongs to one that began before.
+        self.begun, self.inside = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for t, r in ranks.items():
+            self.names[r] = "".join(map(chars.__getitem__, t))
+            self.begun[r] = sum(b & 0xC0 != 0x80 for b in t)
+            self.inside[r] = t[0] & 0xC0 == 0x80
+
+    def decode(self, ids: bytes) -> bytes:
+        text = "".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.inverse[np.frombuffer(text.encode("utf-16-le"), "<u2")].tobytes()
+
+    def offsets(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(ids, "<u4")
+        ends = np.cumsum(self.begun[at])
+        return ends - self.begun[at] - self.inside[at], ends
+
+
+@lru_cache(2)
+def reverse(path: str) -> Reverse:
+    return Reverse(path)
+
+
 def decode_ids(ids: bytes, path: str) -> bytes:
-    return b"".join(map(bytes_of_ids(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return reverse(path).decode(ids)
 
 
 def offsets(ids: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First and exclusive last character of each token."""
-    tokens = list(map(bytes_of_ids(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
-    ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
-    if not len(ends):
-        return ends, ends
-    char = np.cumsum((np.frombuffer(b"".join(tokens), np.uint8) & 0xC0) != 0x80) - 1
-    return char[np.concatenate([[0], ends[:-1]])], char[ends - 1] + 1
+    return reverse(path).offsets(ids)
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -149,11 +171,11 @@ def _sizes(column: pa.Array) -> np.ndarray:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_offsets: bool = False) -> DataFrame:
-    """(id, ids binary) and, with_offsets, starts and ends: arrays of character positions."""
+    """(id, ids binary) and, with_offsets, starts and ends: character positions, stored as ids are."""
     path = path or default_path()
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary" + ", starts array<long>, ends array<long>" * with_offsets
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary" + ", starts binary, ends binary" * with_offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -164,16 +186,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 columns = [part.column(0), pa.array(ids, pa.binary())]
                 if with_offsets:
                     both = [offsets(x, path) for x in ids]
-                    columns += [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in (0, 1)]
+                    columns += [pa.array([x[i].astype("<u4").tobytes() for x in both], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "starts", "ends"][: len(columns)])
 
     return rows.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(id, ids, decoded binary). decoded.cast('string') is the text."""
+    """coded with the column decoded (binary) added. decoded.cast('string') is the text."""
     path = path or default_path()
-    rows = coded.select(id_col, "ids")
+    rows = coded.select(id_col, *[c for c in ("ids", "starts", "ends") if c in coded.columns])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +204,19 @@ def decode(coded: DataFrame, id_col: str = "doc_id", path: str | None = None) ->
                 part = batch.slice(a, b - a)
                 ids = part.column(1)
                 out = [decode_ids(ids[i].as_buffer(), path) for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded binary")
+    return rows.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs))
+    both = decode(encode(docs, with_offsets=True))
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat("starts", "ends"), 256).alias("offsets_sha256"),
     )
 
 

@@ -100,15 +100,26 @@ def test_op3(spark, odd, which):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = Counter()
     for r in table(spark, sf):
-        ids = enc.encode_ordinary(r.text or "")
-        want[(r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode()))] += 1
+        text = r.text or ""
+        ids = enc.encode_ordinary(text)
+        # of each token: the character of its first and of its last byte
+        owner = [i for i, c in enumerate(text) for _ in c.encode()]
+        at = np.cumsum([0, *[len(enc.decode_single_token_bytes(i)) for i in ids]])
+        starts, ends = [owner[a] for a in at[:-1]], [owner[b - 1] + 1 for b in at[1:]]
+        want[(r.doc_id, len(ids), *[sha(np.array(x, "<u4").tobytes()) for x in (ids,)], sha(text.encode()), sha(np.array(starts + ends, "<u4").tobytes()))] += 1
     assert Counter(tuple(r) for r in queries.QUERIES["op3_bpe"](spark, sf).collect()) == want
 
 
 def test_bpe_offsets(spark):
     text = "naïve 😀 test"
     r = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_offsets=True).first()
-    assert r.starts[0] == 0 and r.ends[-1] == len(text) and all(a < b for a, b in zip(r.starts, r.ends))
+    starts, ends = np.frombuffer(r.starts, "<u4"), np.frombuffer(r.ends, "<u4")
+    assert starts[0] == 0 and ends[-1] == len(text) and (starts < ends).all() and (starts[1:] < ends[:-1]).any()
+
+
+def test_byte_table():
+    chars, inverse = bpe.byte_table(), bpe.inverse_table()
+    assert len(set(chars)) == 256 and all(inverse[ord(c)] == b for b, c in enumerate(chars))
 
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
