@@ -90,6 +90,26 @@ def test_pii_spans(spark):
     assert got == {0: [("iban", 0, 27)], 1: [("email", 0, 5), ("email", 5, 11)], 2: [], 3: [("ip", 0, 7), ("ip", 8, 15)], 4: [("email", 2, 8), ("phone", 14, 31)]}
 
 
+def test_pii_kinds(spark):
+    """IBANs end at their country's length; secrets; scores rise near context words; a column _spans gives way."""
+    texts = ["ES91 2100 0418 4502 0005 1332 EUR 500", "BE68 5390 0754 7034 EUR 20", "BE68539007547034EUR", "NO93 8601 1117 947", 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "token = short", "bank iban GB82WEST12345698765432", "call 4111 1111 1111 1111", "card 4111 1111 1111 1111"]
+    df = pii.find_pii(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, _spans int"))
+    got = {r.doc_id: [(s.kind, s.start, s.end, round(s.score, 2)) for s in r._spans if s.kind != "phone"] for r in df.collect()}
+    assert got == {0: [("iban", 0, 29, 0.8)], 1: [("iban", 0, 19, 0.8)], 2: [], 3: [("iban", 0, 18, 0.8)], 4: [("secret", 2, 51, 0.7)], 5: [], 6: [("iban", 10, 32, 1.0)], 7: [("card", 5, 24, 0.7)], 8: [("card", 5, 24, 0.9)]}
+
+
+def test_pii_linear(spark):
+    """20,000 addresses in one text, within seconds, by value."""
+    import time
+
+    text = " ".join(f"user{i}@mail{i}.example.org é" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (r,) = pii.find_pii(df, kinds=("email", "ip")).collect()
+    assert time.time() - began < 20
+    assert [(s.start, s.end) for s in r._spans] == [m.span() for m in brute.PII[0][1].finditer(text)]
+
+
 @pytest.mark.parametrize("which", ["sf", "odd"])
 def test_op3(spark, odd, which):
     import public_tokenizers as P
