@@ -1,22 +1,23 @@
 """Exact substring deduplication: bytes covered by a LENGTH-byte string that also starts anywhere else are removed.
 
-Bucket-pointer refinement over a sampled suffix array. A string of LENGTH bytes is ordered by its anchor, the Q-gram of
+Bucket-pointer refinement over a sampled suffix array. A string of LENGTH bytes belongs to its anchor, the Q-gram of
 lowest hash in it (the last one among equals), so that equal strings have equal anchors at equal offsets and only anchors
-need to be sorted, not every suffix.
+enter the first buckets, not every suffix. The strings of one anchor start side by side: they are its run.
 
 1. Texts that occur twice or more are removed whole; one row of each stands for it from then on.
-2. Initial buckets: anchors by their Q-gram's hash. A bucket of one is done: its strings occur once.
-3. The bucket's members are refined by the identifier of the bytes around them, over all strings of the anchor: members
-   that agree are duplicates as a whole. A bucket without other members is done.
-4. What is left is refined by sorting on the bytes before the anchor, then on those after it. Neighbours in either order give
-   matches of their own and bound how far any match can reach. A member alone in its class is unsettled if its bounds hold
-   offsets that no one neighbour proves; in buckets that have such members, all members' offsets between the bounds of the
-   unsettled ones are refined by the identifiers of their strings, those of settled members and of representatives too:
-   an unsettled member may match only such as are not its neighbours.
-
-Identifiers are 64-bit polynomial hashes over random bytes' values, finally mixed. Sorting is by range over bucket and bytes,
-so that a bucket with many members spreads over tasks; at a range's border bounds are taken as open. Memory of a task is that
-of CHUNK bytes of text and a batch of rows.
+2. Initial buckets: anchors by their Q-gram's identifier. A bucket of one is done: its strings occur once.
+3. A bucket's runs are refined by the identifier of all their bytes, from the first string's offset to the last one's. Runs that
+   agree are duplicates as a whole, and one of them stands for its class. A bucket without other runs is done.
+4. The strings of the runs that are left are refined in rounds. A round orders the strings by (identifier of the last round,
+   identifier of the bytes at a later offset); only strings whose new bucket has another member go on, and their identifiers are
+   what the next round refines. Round 0 starts from (anchor's bucket, offset of the anchor) and adds the first HALF bytes; the
+   last one adds the bytes from LENGTH - HALF on.
+
+Identifiers of steps 2 and 4's first round are 64-bit polynomial hashes over random bytes' values, finally mixed: they only rule
+strings out. Those that prove equality (step 3 and the last round) are 128-bit BLAKE2b digests of the bytes themselves, and
+texts are told apart by two 64-bit hashes. Buckets are counted before they are shuffled, and the joins back are of many rows to
+one, which the engine splits where a key is hot. Memory of a task is that of CHUNK bytes of text, a batch of rows, and a text
+with its open runs.
 
 Defined cases: null and empty texts keep nothing and lose nothing; texts under LENGTH bytes stay; strings never cross
 documents; overlapping occurrences in one document count; null ids and repeated rows are rows of their own; an empty table
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from loomark.llm.common import cut, remove, small, small_batches, table
 
 LENGTH, Q = 200, 64
+#: Bytes that a round's identifier covers.
+HALF = 128
 #: Offsets that an anchor may have in a string.
 SPAN = LENGTH - Q + 1
 CHUNK = 1 << 19
@@ -79,7 +83,8 @@ def _window_min(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray):
-    """Anchors of the texts begins .. ends of raw: (text, position, first and last start, bucket, identifier)."""
+    """Anchors of the texts begins .. ends of raw: (text, position, shape, bucket, two halves of the run's digest).
+    shape: the anchor's offset in its first string, times 256, plus that in its last."""
     sums = _sums(raw)
     at = np.arange(len(raw) - Q + 1)
     gram = _ids(sums, at, at + Q)
@@ -94,8 +99,10 @@ def anchors(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray):
         return None
     edge = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
     lo, hi, p, text = starts[edge], starts[np.concatenate([edge[1:] - 1, [len(starts) - 1]])], best[edge], text[edge]
-    around = _ids(sums, lo, hi + LENGTH) ^ _mix((p - lo).astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64))
-    return text, p - begins[text], lo - begins[text], hi - begins[text], gram[p], around
+    view = memoryview(raw)
+    around = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())])
+    shape = (p - lo) << 8 | (p - hi)
+    return text, p - begins[text], shape, gram[p].view(np.int64), *np.frombuffer(around, "<i8").reshape(-1, 2).T
 
 
 def _pieces(texts: list[memoryview]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,122 +128,84 @@ def _pieces(texts: list[memoryview]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield done()
 
 
-ANCHOR = "k1 long, k2 int, p long, lo long, hi long, bucket long, around long"
+ANCHOR = "k1 long, k2 long, p long, shape long, bucket long, a1 long, a2 long"
+RUN = "k1 long, k2 long, p long, shape long, bucket long, single boolean, raw binary"
+ROUND = "k1 long, k2 long, p long, o int, single boolean, "
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.rstrip(", ").split(", ")]
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in ANCHOR.split(", ")]
     for batch in batches:
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         texts = [memoryview(t.as_buffer()) for t in batch.column(2)]
         for raw, begins, ends, index, before in _pieces(texts):
             if (got := anchors(raw, begins, ends)) is not None:
-                text, p, lo, hi, bucket, around = got
-                add, row = before[text], index[text]
-                columns = [k1[row], k2[row], p + add, lo + add, hi + add, bucket.view(np.int64), around.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
-CONTEXT = "k1 long, k2 int, p long, o_min int, o_max int, single boolean, bucket long, l binary, r binary"
+                text, p, *rest = got
+                row = index[text]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[row], k2[row], p + before[text], *rest)], _names(ANCHOR))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes before each anchor, nearest first, and those after it."""
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their open members -> the bytes of each run."""
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.binary()]
     for batch in batches:
         out: list[tuple] = []
         for k1, k2, text, members in zip(*[batch.column(i) for i in range(4)]):
-            raw = bytes(text.as_buffer())
+            raw, k1, k2 = memoryview(text.as_buffer()), k1.as_py(), k2.as_py()
             for m in members.as_py():
-                p = m["p"]
-                out.append((k1.as_py(), k2.as_py(), p, p - m["hi"], p - m["lo"], m["single"], m["bucket"], raw[m["lo"] : p][::-1], raw[p + Q : m["hi"] + LENGTH]))
+                p, shape = m["p"], m["shape"]
+                out.append((k1, k2, p, shape, m["bucket"], m["single"], bytes(raw[p - (shape >> 8) : p - (shape & 255) + LENGTH])))
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], _names(RUN))
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names)
-
-
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
-
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], _names(RUN))
 
-def _matrix(column: pa.Array, width: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    parts = [x.as_py() for x in column]
-    n = np.array([len(x) for x in parts], np.int64)
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(len(parts), width), n
 
-
-def _common(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each row and the next."""
-    differ = m[1:] != m[:-1]
-    at = np.where(differ.any(1), differ.argmax(1), m.shape[1])
-    return np.minimum(at, np.minimum(n[1:], n[:-1]))
-
-
-def _neighbours(side: str):
-    """Rows sorted by bucket and side -> the same rows with `reach` (how far a match can go on that side) and the
-    range of offsets from..to (inclusive; empty if from > to) that each of the two neighbours proves."""
+def _strings(last: bool):
+    """Runs -> a row per string with its identifier: of round 0, or (runs have a list `alive` of offsets) of the last round."""
+    names = _names(ROUND) + (["d1", "d2"] if last else ["d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the row before the batch
-        pending: pa.RecordBatch | None = None
-        first = True
-
-        def settle(rows: pa.RecordBatch, prev: pa.RecordBatch | None, after: pa.RecordBatch | None, is_first: bool) -> pa.RecordBatch:
-            table_ = pa.Table.from_batches([x for x in (prev, rows, after) if x is not None]).combine_chunks()
-            bucket = table_.column("bucket").to_numpy()
-            (l, nl), (r, nr) = (_matrix(table_.column(c).combine_chunks()) for c in ("l", "r"))
-            same = bucket[1:] == bucket[:-1]
-            cl, cr = np.where(same, _common(l, nl), -1), np.where(same, _common(r, nr), -1)
-            a = 0 if prev is None else 1
-            n = rows.num_rows
-            o_min, o_max = (rows.column(c).to_numpy() for c in ("o_min", "o_max"))
-            pad = lambda x: np.concatenate([[-1], x, [-1]])
-            cl, cr = pad(cl), pad(cr)
-            near = cl if side == "l" else cr
-            before, behind = near[a : a + n], near[a + 1 : a + 1 + n]
-            reach = np.maximum(before, behind)
-            if is_first:
-                reach[0] = SPAN  # the row before it is in another task
-            if after is None:
-                reach[-1] = SPAN
-            spans = []
-            for x, y in ((cl[a : a + n], cr[a : a + n]), (cl[a + 1 : a + 1 + n], cr[a + 1 : a + 1 + n])):
-                lo, hi = np.maximum(o_min, LENGTH - Q - y), np.minimum(o_max, x)
-                none = (x < 0) | (y < 0)
-                spans += [np.where(none, 1, lo), np.where(none, 0, hi)]
-            columns = [*rows.columns, pa.array(reach.astype(np.int32)), *[pa.array(s.astype(np.int32)) for s in spans]]
-            return pa.RecordBatch.from_arrays(columns, [*rows.schema.names, f"reach_{side}", *[f"{side}{k}" for k in ("f0", "t0", "f1", "t1")]])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if pending is not None:
-                yield settle(pending, last, batch.slice(0, 1), first)
-                last, first = pending.slice(pending.num_rows - 1, 1), False
-            pending = batch
-        if pending is not None:
-            yield settle(pending, last, None, first)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                k1, k2, p, shape, bucket, single = (part.column(j).to_numpy(zero_copy_only=False) for j in range(6))
+                texts = [x.as_buffer() for x in part.column(6)]
+                size = np.array([x.size for x in texts])
+                base, most, least = np.cumsum(size) - size, shape >> 8, shape & 255
+                joined = b"".join(texts)
+                if last:
+                    alive = part.column(7)
+                    n = alive.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    own = np.repeat(np.arange(len(n)), n)
+                    o = alive.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                else:
+                    n = most - least + 1
+                    own = np.repeat(np.arange(len(n)), n)
+                    o = most[own] - (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+                if not len(own):
+                    continue
+                begin = base[own] + most[own] - o
+                if last:
+                    view = memoryview(joined)
+                    got = b"".join([blake2b(view[b : b + LENGTH], digest_size=16).digest() for b in begin.tolist()])
+                    ids = np.frombuffer(got, "<i8").reshape(-1, 2).T
+                else:
+                    before = _mix(bucket.view(np.uint64)[own] * np.uint64(3) + o.astype(np.uint64))
+                    ids = [_mix(before ^ _ids(_sums(np.frombuffer(joined, np.uint8)), begin, begin + HALF)).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[own], k2[own], p[own], o.astype(np.int32), single[own].astype(bool), *ids)], names)
 
     return run
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of k1, k2, p, bucket, l, r, lo_o, hi_o -> (k1, k2, start, string): identifiers of the strings at open offsets."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            out = []
-            for k1, k2, p, bucket, l, r, a, b in zip(*[part.column(j).to_pylist() for j in range(8)]):
-                # the anchor's own bytes are the same in the whole bucket; the bucket stands for them
-                raw = np.frombuffer(l[::-1] + r, np.uint8)
-                sums = _sums(raw)
-                o = np.arange(a, b + 1)
-                begin = len(l) - o
-                got = _ids(sums, begin, begin + LENGTH - Q) ^ _mix(o.astype(np.uint64) + np.uint64(bucket & 0xFFFFFFFFFFFFFFFF) * np.uint64(3))
-                out.append((np.full(len(o), k1), np.full(len(o), k2, np.int32), p - o, _mix(got).view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out])) for j in range(4)], ["k1", "k2", "start", "string"])
+def _shared(strings: DataFrame, *keys: str) -> DataFrame:
+    """The strings whose bucket has another member."""
+    twice, _ = cut(strings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "shared")
+    return strings.join(_hint(twice, BROADCAST_ROWS), list(keys), "left_semi")
 
 
 def _keep(length: int):
@@ -286,51 +255,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = rows.join(held, ["k1", "k2"], "left").where(F.col("_copy").isNull() | F.col("_id").eqNullSafe(F.col("_least")))
     first, first_path = cut(one.select("k1", "k2", "raw").mapInArrow(_sample, ANCHOR), "anchors")
 
-    buckets = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("around").alias("_a"), F.max("around").alias("_b"))
-    buckets, _ = cut(buckets.where("_n > 1").select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")), "buckets")
+    mixed = (F.min("a1") != F.max("a1")) | (F.min("a2") != F.max("a2"))
+    buckets, buckets_path = cut(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), mixed.alias("mixed")).where("_n > 1").select("bucket", "mixed"), "buckets")
     release(spark)
     left, left_path = cut(first.join(buckets, "bucket"), "refined")
-    remove(spark, first_path)
+    remove(spark, first_path, buckets_path)
     release(spark)
 
-    classes = left.where("mixed").groupBy("bucket", "around").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2", "p")).alias("_rep"))
-    classes, _ = cut(classes, "classes")
-    both = left.where("mixed").join(classes, ["bucket", "around"])
-    known = left.where("not mixed").select("k1", "k2", "lo", "hi").union(both.where("_n > 1").select("k1", "k2", "lo", "hi"))
-    rest = both.where((F.col("_n") == 1) | (F.struct("k1", "k2", "p") == F.col("_rep")))
-    member = F.struct("p", "lo", "hi", "bucket", (F.col("_n") == 1).alias("single"))
-    per_text, _ = cut(rest.groupBy("k1", "k2").agg(F.collect_list(member).alias("members")), "open_members")
+    of_class = ["bucket", "a1", "a2"]
+    classes, classes_path = cut(left.where("mixed").groupBy(*of_class).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2", "p", "shape")).alias("_m")), "classes")
+    whole = left.where("mixed").join(classes.where("_n > 1").select(*of_class), of_class, "left_semi")
+    known = lambda df: df.select("k1", "k2", (F.col("p") - F.shiftright("shape", 8)).alias("lo"), (F.col("p") - F.col("shape").bitwiseAND(255)).alias("hi"))
+    settled, _ = cut(known(whole), "settled")
+    uniform, _ = cut(known(left.where("not mixed")), "uniform")
+    member = F.struct(F.col("_m.p").alias("p"), F.col("_m.shape").alias("shape"), "bucket", (F.col("_n") == 1).alias("single"))
+    per_text, text_path = cut(classes.groupBy(F.col("_m.k1").alias("k1"), F.col("_m.k2").alias("k2")).agg(F.collect_list(member).alias("members")), "open_members")
+    remove(spark, left_path, classes_path)
     # only texts with open members are shuffled
     open_texts = one.select("k1", "k2", "raw").join(_hint(per_text.select("k1", "k2"), BROADCAST_ROWS), ["k1", "k2"], "left_semi")
     texts = open_texts.join(per_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "raw", "members")
-    around, around_path = cut(texts.mapInArrow(_contexts, CONTEXT), "contexts")
+    runs, runs_path = cut(texts.mapInArrow(_runs, RUN), "runs", compression="zstd")
+    remove(spark, text_path)
+    release(spark)
+
+    strings, strings_path = cut(runs.mapInArrow(_strings(False), f"{ROUND}d long"), "strings_0")
+    alive = _shared(strings, "d").groupBy("k1", "k2", "p").agg(F.collect_list("o").alias("alive"))
+    alive, alive_path = cut(alive, "alive_0")
+    remove(spark, strings_path)
     release(spark)
-    span = lambda s: ", ".join(f"{s}{k} int" for k in ("f0", "t0", "f1", "t1"))
-    by_left = around.repartitionByRange(F.col("bucket"), F.col("l")).sortWithinPartitions("bucket", "l").mapInArrow(_neighbours("l"), f"{CONTEXT}, reach_l int, {span('l')}")
-    by_both = by_left.repartitionByRange(F.col("bucket"), F.col("r")).sortWithinPartitions("bucket", "r").mapInArrow(_neighbours("r"), f"{CONTEXT}, reach_l int, {span('l')}, reach_r int, {span('r')}")
-    bounds, bounds_path = cut(by_both, "bounds")
-    remove(spark, around_path)
-    proven = bounds.where("single").select("k1", "k2", "p", F.explode(F.array(*[F.struct(F.col(f"{s}f{i}").alias("a"), F.col(f"{s}t{i}").alias("b")) for s in "lr" for i in (0, 1)])).alias("x")).where("x.a <= x.b")
-    proven = proven.select("k1", "k2", (F.col("p") - F.col("x.b")).alias("lo"), (F.col("p") - F.col("x.a")).alias("hi"))
-    # offsets within the bounds of both sides; settled where one neighbour proves them all
-    a, b = F.greatest("o_min", F.lit(LENGTH - Q) - F.col("reach_r")), F.least("o_max", "reach_l")
-    settled = F.lit(False)
-    for s in "lr":
-        for i in (0, 1):
-            settled = settled | ((F.col(f"{s}f{i}") <= a) & (F.col(f"{s}t{i}") >= b))
-    within = bounds.where(a <= b).select("k1", "k2", "p", "bucket", "l", "r", a.alias("a"), b.alias("b"), (settled | ~F.col("single")).alias("settled"))
-    # only what an unsettled member may match is compared with it, be it settled itself or not
-    unsettled, _ = cut(within.where("not settled").groupBy("bucket").agg(F.min("a").alias("_a"), F.max("b").alias("_b")), "unsettled")
-    opened = within.join(_hint(unsettled, BROADCAST_ROWS), "bucket")
-    opened = opened.select("k1", "k2", "p", "bucket", "l", "r", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b")).where("a <= b")
-    strings = opened.mapInArrow(_open_windows, "k1 long, k2 int, start long, string long")
-    strings, strings_path = cut(strings, "strings")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("string")
-    more = strings.join(twice, "string", "left_semi").select("k1", "k2", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    spans, _ = cut(known.union(proven).union(more), "spans")
-    remove(spark, left_path, bounds_path, strings_path)
+    again = runs.join(alive, ["k1", "k2", "p"])
+    strings, strings_path = cut(again.select(*_names(RUN), "alive").mapInArrow(_strings(True), f"{ROUND}d1 long, d2 long"), "strings_1")
+    proven = _shared(strings, "d1", "d2").where("single").groupBy("k1", "k2", "p").agg(F.collect_list("o").alias("o"))
+    at, p = F.col("o"), F.col("p")
+    low, high = F.array_min(at), F.array_max(at)
+    ranges = F.when(high - low + 1 == F.size(at), F.array(F.struct((p - high).alias("lo"), (p - low).alias("hi")))).otherwise(F.transform(at, lambda o: F.struct((p - o).alias("lo"), (p - o).alias("hi"))))
+    some, _ = cut(proven.select("k1", "k2", F.inline(ranges)), "proven")
+    remove(spark, runs_path, alive_path, strings_path)
     release(spark)
-    return copies, spans
+    return copies, settled.union(uniform).union(some)
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:
@@ -339,7 +301,7 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
 
 def _keys(text_col: str) -> tuple[Column, Column, Column]:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.encode(text, "UTF-8")
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), F.encode(text, "UTF-8")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
