@@ -3,12 +3,14 @@
 A text is lower-cased (A-Z), cut into words [^\\x20\\x09-\\x0D]+ and these into shingles of `width` words, repeats included,
 joined by a blank; fewer words form one shingle. A fingerprint bit is 1 if it is set in over half the XXH64 hashes (seed 42).
 
-Links are found exactly. Equal fingerprints are one point. The bits are cut into blocks, radius of which may differ at
-most in one bit each; so within some choice of the other blocks a linked pair is at distance 0. For every choice the
-points are partitioned into shards by their distance there (radius 0: no shard overlaps another), and each shard is searched
-with a vantage-point tree on whole fingerprints, whose branches are pruned by the triangle bound |d(x, v) - d(y, v)| <= radius.
-The number of blocks follows the number of points, so that shards stay small; any number gives all pairs. A shard
-above TILE points is dealt into tiles, and every pair of tiles is searched, so that no task holds more than two tiles.
+Links are found exactly. Equal fingerprints are one point. Points are partitioned by their Hamming distances to VANTAGES sampled
+vantage points: by the triangle bound linked points differ by at most radius there, so a shell of SHELL distances takes the points
+of the next shell's first radius distances too, and some shard holds both ends of every link. Distances of unlike texts lie
+close around 32 bits, so shells alone leave shards that grow with the table. Each is therefore partitioned once more: the bits are
+cut into blocks, radius of which may differ at most in one bit each, and for every choice of the other blocks points are brought
+together that agree there. Shards above LARGE points are cut again into shells around a vantage point of their own, ROUNDS times
+at most; what a shell can't cut lies close together and is found by few searches. In each shard the links are searched with a
+vantage-point tree on whole fingerprints, whose branches are pruned by the triangle bound |d(x, v) - d(y, v)| <= radius.
 
 A search returns a spanning forest of a shard's links, not all pairs; components come from graph.components().
 
@@ -23,17 +25,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomark.llm.common import cut, small, table
 from loomark.llm.graph import components
 
 WIDTH, RADIUS = 4, 4
-TILE = 4096
-LEAF = 256
+VANTAGES = 2
+#: Distances a shell holds; over the radius, so that only neighbours overlap.
+SHELL = 8
+#: Points above which a shard is cut again, and how often.
+LARGE, ROUNDS = 1 << 16, 6
+LEAF = 16
 #: Points a shard holds on average, about, before more blocks are used.
-SHARD_POINTS = 256
+SHARD_POINTS = 1 << 14
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -135,7 +141,7 @@ def forest(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while todo:
             x = todo.pop()
             for y in tree.take(codes[x], radius).tolist():
-                links.append((i, y))
+                links.append((x, y))
                 todo.append(y)
     return links
 
@@ -171,22 +177,40 @@ def _search(radius: int):
     return run
 
 
-def links(points: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _shells(distance: Column, radius: int) -> Column:
+    """The shells that take a point: its own, and the one below where a link may cross the border."""
+    own = F.floor(distance / SHELL).cast("int")
+    return F.when((distance % SHELL < radius) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+
+
+def links(points: DataFrame, n: int, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
     """points (fp), distinct -> links (a, b) that connect what is within the radius."""
-    each = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(masks(n, radius))]
-    keyed = points.select("fp", F.explode(F.array(*each)).alias("k")).select("fp", F.xxhash64("k.c", "k.v").alias("shard"))
-    hot = keyed.groupBy("shard").count().where(F.col("count") > tile)
-    hot = cut(hot.select("shard", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot_shards")[0]
-    if small(hot, 100_000):  # 2 MB; beyond that a shuffled join
-        hot = F.broadcast(hot)
-    keyed = keyed.join(hot, "shard", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    keyed = keyed.withColumn("own", own).select("*", other.alias("other"))
+    if not 0 <= radius < SHELL:
+        raise ValueError(f"the radius is under {SHELL}")
+    distance = lambda v: F.bit_count(F.col("fp").bitwiseXOR(v))
+    vantages = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(VANTAGES).collect()]
+    shells = [f"s{i}" for i in range(len(vantages))]
+    for name, v in zip(shells, vantages):
+        points = points.withColumn(name, F.explode(_shells(distance(F.lit(v)), radius)))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    each = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks(n, radius))]
     # Two shards whose hashes meet only cost time: distances are of whole fingerprints.
-    unit = F.when(F.col("tiles") == 1, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
-    units = keyed.select(unit.alias("unit"), "fp").repartition("unit").sortWithinPartitions("unit", "fp")
-    return units.mapInArrow(_search(radius), "a long, b long")
+    keyed = points.select("fp", *shells, F.explode(F.array(*each)).alias("k")).select("fp", F.xxhash64("k.c", "k.v", *shells).alias("shard"))
+    keyed, _ = cut(keyed, "shards_0")
+    done: list[DataFrame] = []
+    for r in range(ROUNDS):
+        own = F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), F.col("fp").alias("v"))
+        hot, _ = cut(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"), F.min(own)["v"].alias("v")).where(F.col("_n") > large).select("shard", "v"), f"hot_{r}")
+        if hot.isEmpty():
+            break
+        # at most copies / large rows; beyond 4 MB a shuffled join
+        both = keyed.join(F.broadcast(hot) if small(hot, 200_000) else hot, "shard", "left")
+        done.append(both.where("v is null").select("fp", "shard"))
+        shell = F.explode(_shells(distance(F.col("v")), radius))
+        keyed, _ = cut(both.where("v is not null").select("fp", "shard", shell.alias("s")).select("fp", F.xxhash64("shard", "s", F.lit(r)).alias("shard")), f"shards_{r + 1}")
+    for part in done:
+        keyed = keyed.union(part)
+    return keyed.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInArrow(_search(radius), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:

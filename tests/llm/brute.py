@@ -94,3 +94,14 @@ def audio(payload: bytes) -> tuple[int, list[tuple[int, int]], list[float]]:
     if on:
         segments.append((begin, len(energy)))
     return len(energy), segments, list(np.mean(logs, axis=0))
+
+
+def simhash(text: str | None) -> int:
+    """Fingerprint of 4-word shingles, bit by bit."""
+    from xxhash import xxh64
+
+    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    hs = [xxh64(" ".join(words[i : i + 4]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))

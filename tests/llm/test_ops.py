@@ -184,28 +184,58 @@ def audio_bytes(b):
     return b"RIFF" + (len(p) + 36).to_bytes(4, "little") + b"WAVEdata" + len(p).to_bytes(4, "little") + p
 
 
-def test_op6(spark):
-    docs = sorted(table(spark, SF), key=lambda r: r.doc_id)
-    codes = np.array([simhash.fingerprint(r.text) for r in docs], np.uint64)
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_op6(spark, odd, which):
+    """Fingerprints by brute.simhash(), components by comparing all."""
+    docs = table(spark, SF if which == "sf" else odd)
+    codes = np.array([brute.simhash(r.text) for r in docs], np.uint64)
     group = list(range(len(docs)))
-    for _ in range(len(docs)):
-        new = [min(group[j] for j in np.flatnonzero(np.bitwise_count(codes ^ c) <= 4)) for c in codes]
+    name = lambda i: (docs[i].doc_id is None, docs[i].doc_id or 0)
+    while True:
+        new = [min((group[j] for j in np.flatnonzero(np.bitwise_count(codes ^ c) <= 4)), key=name) for c in codes]
         if new == group:
             break
         group = new
-    want = {docs[i].doc_id: (f"{int(codes[i]):016x}", docs[group[i]].doc_id) for i in range(len(docs))}
-    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op6_simhash"](spark, SF).collect()} == want
+    want = Counter((docs[i].doc_id, f"{int(codes[i]):016x}", docs[group[i]].doc_id) for i in range(len(docs)))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in queries.QUERIES["op6_simhash"](spark, SF if which == "sf" else odd).collect()) == want
 
 
-def test_simhash_tiles_and_trees(spark):
+@pytest.mark.parametrize("large", [16, 1 << 16])
+def test_simhash_links(spark, large):
+    """Components of clusters and of scattered codes, whole shards and shards cut into shells, against all pairs."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(30)]]))
+    flip = lambda c: c ^ (np.uint64(1) << rng.integers(0, 64, len(c), dtype=np.uint64))
+    codes = [base, rng.integers(0, 1 << 63, 300, dtype=np.uint64), *[flip(base) for _ in range(30)], *[flip(flip(flip(flip(flip(base))))) for _ in range(10)]]
+    codes = np.unique(np.concatenate(codes))
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
-    edges = simhash.links(df, len(codes), tile=16).collect()
-    assert all(((e.a ^ e.b) & ((1 << 64) - 1)).bit_count() <= 4 for e in edges)
-    root = simhash.components(simhash.links(df, len(codes), tile=16)).collect()
-    assert len({r.root for r in root}) == 20 and len(root) == len(codes)
+    edges = simhash.links(df, len(codes), large=large)
+    assert all(((e.a ^ e.b) & ((1 << 64) - 1)).bit_count() <= 4 for e in edges.collect())
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 4
+    group = np.arange(len(codes))
+    while (new := np.array([group[row].min() for row in near])).tolist() != group.tolist():
+        group = new
+    own = codes.view(np.int64).tolist()
+    parts = defaultdict(set)
+    for c, g in zip(own, group.tolist()):
+        parts[g].add(c)
+    mine = defaultdict(set)
+    for c in own:
+        mine[got.get(c, c)].add(c)
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_vantage_point_tree():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    tree = simhash.VPTree(codes)
+    depth = lambda node: 0 if isinstance(node, np.ndarray) else 1 + max(depth(node[3]), depth(node[4]))
+    assert depth(tree.root) > 5
+    for c in codes[:50]:
+        near = c ^ np.uint64(0b1010101)
+        tree.free[:] = True
+        assert sorted(tree.take(near, 12).tolist()) == np.flatnonzero(np.bitwise_count(codes ^ near) <= 12).tolist()
 
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
