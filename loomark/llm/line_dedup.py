@@ -1,27 +1,33 @@
 """Line deduplication over levelled sorted runs of line hashes. DataFrame functions only.
 
 A document is a row. Its text is split at \\n; a null or empty text is one empty line. A line's key is the
-line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; keys are held as XXH64 hashes.
+line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; keys are held as XXH64 hashes, made once and written.
 
-Each batch of documents becomes a run at level 0: (hash, number of documents), sorted by hash. When a level
-holds `fanout` runs they are merged into one run of the next level. Keys that at least `min_docs` documents
-hold are then anti-joined from all lines.
+Documents are dealt into batches. A batch's keys are merge-anti-joined with the runs: what no run holds is fresh. The batch then
+becomes a run at level 0: (hash, number of documents, fresh), bucketed and sorted by hash, so that the merge joins with it
+shuffle nothing; every key is fresh in exactly one run, and in other runs it only adds to its number. When a level holds
+`fanout` runs they are merged into one run of the next level. Keys that at least `min_docs` documents hold lose their lines.
 
 Defined cases: empty keys never count; a key repeated in one document counts once; repeated rows are separate
 documents; null ids are allowed; an empty table gives no rows; other columns are passed through untouched
-(dedup_lines) or dropped (the query). Very long texts stay in their row: only hashes are shuffled, the text once.
+(dedup_lines) or dropped (the query). Very long texts stay in their row: only hashes are shuffled, the text once, and the work
+is linear in the lines of a text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import BLANKS, ascii_lower, aside, cut, fresh_path, remove, table
+from loomark.llm.common import BLANKS, ascii_lower, aside, cut, fresh_path, remove, small, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES = 4
+#: Frequent keys are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -43,57 +49,97 @@ def key_hashes(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h, n): a key's hash and the number of documents that hold it."""
+    """Levelled sorted runs of (h, n, fresh): a key's hash, the number of documents that hold it, and whether the run brought it."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 4, min_chars: int = MIN_CHARS):
+    def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = MIN_CHARS):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
-        self.root = root or fresh_path(spark, "line_runs")
-        self.levels: dict[int, list[str]] = {}
-        self._made = 0
+        # as many as an aggregation has, so that its result meets a run's buckets without another shuffle
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: By level: the table and the path of each run.
+        self.levels: dict[int, list[tuple[str, str]]] = {}
+
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "line_run")
+        rows.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _drop(self, *runs: tuple[str, str]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
+    def _runs(self) -> list[tuple[str, str]]:
+        return [run for level in sorted(self.levels) for run in self.levels[level]]
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.root}/level={level}/run={self._made}"
-        self._made += 1
-        counts.sortWithinPartitions("h").write.mode("overwrite").parquet(path)
-        self.levels.setdefault(level, []).append(path)
+    def _tables(self) -> list[DataFrame]:
+        return [self.spark.read.table(name) for name, _ in self._runs()]
 
-    def _runs(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(*paths)
+    def keys(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(h): a row for each document and key."""
+        return docs.select(F.explode(F.array_distinct(key_hashes(F.col(text_col), self.min_chars))).alias("h")).where("h is not null")
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The rows of keys (h, ...) that no run holds: a merge anti-join against each."""
+        for run in self._tables():
+            keys = keys.join(run.where("fresh").select("h").hint("merge"), "h", "left_anti")
+        return keys
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
+        self.add_keys(self.keys(docs, text_col))
+
+    def add_keys(self, keys: DataFrame) -> None:
         """Adds a batch as a run of its own, then compacts the levels that are full."""
-        keys = docs.select(F.explode(F.array_distinct(key_hashes(F.col(text_col), self.min_chars))).alias("h"))
-        self._write(keys.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")), 0)
+        counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        batch = None
+        if self.levels:
+            batch = self._write(counts)
+            counts = self.spark.read.table(batch[0])
+            rows = self.fresh(counts).withColumn("fresh", F.lit(True))
+            for run in self._tables():
+                known = counts.join(run.where("fresh").select("h").hint("merge"), "h", "left_semi")
+                rows = rows.union(known.withColumn("fresh", F.lit(False)))
+        else:
+            rows = counts.withColumn("fresh", F.lit(True))
+        self.levels.setdefault(0, []).append(self._write(rows))
+        if batch:
+            self._drop(batch)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             self._merge(level)
             level += 1
 
     def _merge(self, level: int) -> None:
-        old = self.levels.pop(level)
-        self._write(self._runs(old).groupBy("h").agg(F.sum("n").alias("n")), level + 1)
-        remove(self.spark, *old)
+        old = self.levels[level]
+        new = self._write(self._summed(old))
+        del self.levels[level]
+        self.levels.setdefault(level + 1, []).append(new)
+        self._drop(*old)
+
+    def _summed(self, runs: list[tuple[str, str]]) -> DataFrame:
+        # by path: over a union of bucketed tables the engine would leave out the shuffle that the sums need
+        rows = self.spark.read.schema("h long, n long, fresh boolean").parquet(*[path for _, path in runs])
+        return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
 
     def counts(self) -> DataFrame:
         """(h, n) over all runs."""
-        paths = [p for level in sorted(self.levels) for p in self.levels[level]]
-        if not paths:
-            return self.spark.createDataFrame([], "h long, n long")
-        runs = self._runs(paths)
-        return runs if len(paths) == 1 else runs.groupBy("h").agg(F.sum("n").alias("n"))
+        runs = self._runs()
+        return self._summed(runs).select("h", "n") if runs else self.spark.createDataFrame([], "h long, n long")
 
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
         return self.counts().where(F.col("n") >= min_docs).select("h")
 
-    def new_lines(self, batch: DataFrame, text_col: str = "text") -> DataFrame:
-        """The batch's key hashes that no run holds yet: a merge anti-join against the runs."""
-        keys = batch.select(F.explode(key_hashes(F.col(text_col), self.min_chars)).alias("h")).where("h is not null").distinct()
-        return keys.join(self.counts(), "h", "left_anti")
+    def new_lines(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The documents' key hashes that no run holds yet."""
+        return self.fresh(self.keys(docs, text_col).distinct())
+
+    def remove(self) -> None:
+        self._drop(*self._runs())
+        self.levels = {}
 
 
 def dedup_lines(
     docs: DataFrame,
-    batches: list[DataFrame] | None = None,
+    batches: int = BATCHES,
     text_col: str = "text",
     id_col: str = "doc_id",
     min_docs: int = MIN_DOCS,
@@ -101,49 +147,42 @@ def dedup_lines(
 ) -> DataFrame:
     """docs with the columns _n_lines, _n_dropped and _kept (the text without the dropped lines).
 
-    batches: parts that make up docs, each of which is added to the runs in turn; docs itself where not given.
+    batches: parts into which docs are dealt by a hash, each of which is added to the runs in turn.
     """
     spark = docs.sparkSession
     docs, back = aside(docs, id_col, text_col)
+    text = F.col(text_col)
+    # rows that are the same in both hashes are the same in text
+    row = [F.xxhash64(F.col(id_col), text).alias("_r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("_r2")]
+    hashed, _ = cut(docs.select(*row, key_hashes(text, min_chars).alias("_h")), "line_hashes")
     runs = LineRuns(spark, min_chars=min_chars)
-    for batch in batches or [docs]:
-        runs.add(batch, text_col)
+    for k in range(batches):
+        part = hashed.where(F.pmod("_r1", F.lit(batches)) == k)
+        runs.add_keys(part.select(F.explode(F.array_distinct("_h")).alias("h")).where("h is not null"))
     frequent, _ = cut(runs.frequent(min_docs), "frequent_lines")
-    remove(spark, runs.root)
-
-    row = F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row")
-    text = F.col(text_col)
-    # Rows that share a key may also share the set of dropped hashes: what is frequent goes from every row.
-    held = docs.select(row, F.explode(F.array_distinct(key_hashes(text, min_chars))).alias("h")).where("h is not null")
-    drops = held.join(frequent, "h", "left_semi").groupBy("_row").agg(F.collect_set("h").alias("_drop"))
-    joined = docs.withColumn("_row", row).join(drops.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
-    pairs = F.arrays_zip(lines_of(text).alias("l"), key_hashes(text, min_chars).alias("h"))
-    kept = F.transform(
-        F.filter(pairs, lambda x: x["h"].isNull() | ~F.array_contains(F.col("_drop"), x["h"])), lambda x: x["l"]
-    )
-    n_lines = F.size(lines_of(text)).cast("long")
-    out = joined.withColumn("_kept_lines", F.when(F.col("_drop").isNull(), lines_of(text)).otherwise(kept))
+    runs.remove()
+    if small(frequent, BROADCAST_ROWS):
+        frequent = F.broadcast(frequent)
+
+    held = hashed.select("_r1", "_r2", F.posexplode("_h").alias("_pos", "h")).where("h is not null")
+    drops = held.join(frequent, "h", "left_semi").groupBy("_r1", "_r2").agg(F.collect_set("_pos").alias("_drop"))
+    joined = docs.select("*", *row).join(drops, ["_r1", "_r2"], "left").drop("_r1", "_r2")
+    lines = lines_of(text)
+    # the lines of a text once, then by position
+    keep = lambda l: F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("_drop")), lambda i: F.get(l, i))
+    kept = F.array_join(F.get(F.transform(F.array(lines), keep), F.lit(0)), "\n")
     out = (
-        out.withColumn("_n_lines", n_lines)
-        .withColumn("_n_dropped", n_lines - F.size("_kept_lines"))
-        .withColumn("_kept", F.array_join("_kept_lines", "\n"))
-        .drop("_drop", "_kept_lines")
+        joined.withColumn("_n_lines", F.size(lines).cast("long"))
+        .withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
+        .withColumn("_kept", F.when(F.col("_drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept))
+        .drop("_drop")
     )
     return back(out)
 
 
-def file_batches(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:
-    """docs, a plain scan, dealt by its files into n batches at most."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    n = min(n, len(files))
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)]
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, file_batches(docs))
+    out = dedup_lines(docs)
     return out.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256")
     )

@@ -335,6 +335,25 @@ def test_line_runs(spark):
         runs.add(part)
     assert sorted(r.n for r in runs.counts().collect()) == [1, 1, 2, 3]
     assert runs.new_lines(batch("a\nnew")).count() == 1
+    # a key is fresh in one run only; a merge join with a run shuffles nothing of it
+    tables = [spark.read.table(name) for name, _ in runs._runs()]
+    fresh = Counter(r.h for t in tables for r in t.where("fresh").collect())
+    assert set(fresh.values()) == {1} and len(fresh) == 4
+    plan = runs.fresh(tables[0]).drop("n")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    runs.remove()
+
+
+def test_line_dedup_linear(spark):
+    """Ten documents of 20,000 lines that all go, within seconds."""
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, f"{text}\nown {i}\nline 5") for i in range(10)], "doc_id long, text string")
+    began = time.time()
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert time.time() - began < 60
+    assert {(r._n_lines, r._n_dropped, r._kept == f"own {r.doc_id}") for r in rows} == {(20_002, 20_001, True)}
 
 
 def test_pipeline(spark, odd, empty):
