@@ -6,12 +6,16 @@ most k = ERROR * m edits shares at least m - q + 1 - k * q of its q-grams with t
 shared q-grams are counted in overlapping bands of diagonals (each 2 * (k + 1) wide, one begins every k + 1), bands below that
 bound are dropped, and the others are verified by a banded alignment of the window within the band's region.
 
-A document is contaminated if any window is verified in it. Windows of one item that are found give one span.
+A document is contaminated if any window is verified in it. Windows of one item that are found give one span. Every verbatim
+quote of WINDOW + STRIDE - 1 characters holds a whole window, and is found; most that lack up to ERROR * WINDOW of that are too.
+Items under Q characters have no q-gram; they are looked for exactly, as whole words.
 
-The benchmark is held by every task in blocks of BLOCK_CHARS at most; more blocks mean more passes, not larger ones.
+A block of the benchmark, of BLOCK_CHARS at most, is searched for in a pass of its own, whose result is written before the next
+one begins: driver and tasks hold one block at a time. Shared q-grams are counted in pieces of POSTINGS, and bands are
+settled as soon as the text is past them, so that a gram common to many windows costs time, not memory.
 
-Defined cases: null texts and items are empty and never match; items under MIN_CHARS characters are not searched for, being no
-evidence; null ids and repeated rows are kept row by row; empty tables give no rows; other columns pass through find().
+Defined cases: null and empty texts and items are empty and never match; null item ids are reported as null; null ids and
+repeated rows are kept row by row; empty tables give no rows; other columns pass through find().
 """
 
 from __future__ import annotations
@@ -24,16 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomark.llm.common import aside, table
+from loomark.llm.common import aside, cut, remove, table
 
 Q = 8
-WINDOW, STRIDE = 100, 50
+WINDOW, STRIDE = 100, 20
 ERROR = 0.1
-MIN_CHARS = 24
 BLOCK_CHARS = 4 << 20
 CHUNK_CHARS = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
+POSTINGS = 1 << 21
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType())])
 
 
@@ -82,11 +86,18 @@ def aligned(windows: np.ndarray, c: np.ndarray, first: np.ndarray, width: int, b
 class Index:
     """The windows of a block of items; one per Python worker."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, np.ndarray, int, int]] = []
-        for item, text in items:
-            c = codes(normal(text))
-            if len(c) < MIN_CHARS:
+    def __init__(self, items: list[tuple[int | None, str]]):
+        import ahocorasick
+
+        self.items = [item for item, _ in items]
+        self.windows: list[tuple[int, np.ndarray, int, int]] = []  # the item by its place
+        short: dict[str, list[int]] = {}
+        for item, (_, text) in enumerate(items):
+            own = normal(text)
+            c = codes(own)
+            if len(c) < Q:
+                if own:
+                    short.setdefault(own, []).append(item)
                 continue
             starts = list(range(0, max(1, len(c) - WINDOW + 1), STRIDE))
             if starts[-1] + WINDOW < len(c):
@@ -95,6 +106,11 @@ class Index:
                 w = c[s : s + WINDOW]
                 k = min(int(ERROR * len(w)), (len(w) - Q) // Q)
                 self.windows.append((item, w, k, len(w) - Q + 1 - k * Q))
+        self.short = ahocorasick.Automaton() if short else None
+        for own, places in short.items():
+            self.short.add_word(own, (len(own), places))
+        if short:
+            self.short.make_automaton()
         self.step = int(ERROR * WINDOW) + 1
         hs = [grams(w) for _, w, _, _ in self.windows]
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
@@ -117,16 +133,35 @@ class Index:
         real = self.keys[k] == h[i]
         i, k = i[real], k[real]
         n = self.count[k]
-        post = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(k) else np.zeros(0, int)
-        owner = self.owner[post]
-        band = (np.repeat(i, n) - self.at[post] + WINDOW) // self.step
         span = (len(c) + 2 * WINDOW) // self.step + 2
-        key, many = np.unique(np.concatenate([owner * span + band, owner * span + np.maximum(band - 1, 0)]), return_counts=True)
-        key = key[many >= self.need[key // span]]
-        return [(int(x // span), int(x % span) * self.step - WINDOW) for x in key]
+        total, begin, out = np.cumsum(n), 0, []
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of bands that the text is not past yet
+        while begin < len(i):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + POSTINGS, "right")))
+            own, m = slice(begin, end), n[begin:end]
+            post = np.repeat(self.first[k[own]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            owner = self.owner[post]
+            band = (np.repeat(i[own], m) - self.at[post] + WINDOW) // self.step
+            new, many = np.unique(np.concatenate([owner * span + band, owner * span + np.maximum(band - 1, 0)]), return_counts=True)
+            if len(keys):
+                new, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                many = np.bincount(at, np.concatenate([counts, many])).astype(np.int64)
+            past = np.ones(len(new), bool) if end == len(i) else (new % span + 2) * self.step < i[end]
+            out.append(new[past & (many >= self.need[new // span])])
+            keys, counts, begin = new[~past], many[~past], end
+        return [(int(x // span), int(x % span) * self.step - WINDOW) for x in (np.concatenate(out) if out else [])]
+
+    def exact(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Hits of the short items in a normal text, as whole words."""
+        out = []
+        for last, (size, places) in self.short.iter(text):
+            a, b = last + 1 - size, last + 1
+            if not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[last].isalnum()):
+                out += [(item, a, b, 0) for item in places]
+        return out
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """Per text the hits (item, start, end, edits), in characters of the text, by item and start."""
+        """Per text the hits (item, start, end, edits), in characters of the text, in the items' order and by start."""
         norm = [normal(t) for t in texts]
         sizes = np.array([len(x) for x in norm]) + 1
         begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -147,6 +182,10 @@ class Index:
                     item, _, most, _ = self.windows[x[0]]
                     if k <= most:
                         found.setdefault(x[2], set()).add((item, a, b, k))
+        if self.short is not None:
+            for d, text in enumerate(norm):
+                if hits := self.exact(text):
+                    found.setdefault(d, set()).update(hits)
         out: list[list] = [[] for _ in texts]
         for d, hits in found.items():
             place = positions(texts[d])
@@ -156,7 +195,7 @@ class Index:
                     merged[-1][2], merged[-1][3] = max(merged[-1][2], e), max(merged[-1][3], edits)
                 else:
                     merged.append([item, s, e, edits])
-            out[d] = [(item, place[s], place[e - 1] + 1, edits) for item, s, e, edits in merged]
+            out[d] = [(self.items[item], place[s], place[e - 1] + 1, edits) for item, s, e, edits in merged]
         return out
 
 
@@ -174,25 +213,36 @@ def positions(text: str) -> list[int]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """The number of blocks, and the items of each, one block at a time, by id."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     n = -(-2 * total // block_chars) or 1
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield sorted(((r.i if r.i is not None else -1), r.t) for r in part.collect())
+
+    def each() -> Iterator[list[tuple[int | None, str]]]:
+        for b in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+            yield sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    return n, each()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the column _hits: array of (item_id, start, end, edits); without the text unless keep_text."""
     spark = docs.sparkSession
     docs, back = aside(docs, text_col)
     out = docs.withColumn("_hits", F.array().cast(T.ArrayType(HIT)))
-    parts = list(blocks(benchmark))
+    n, parts = blocks(benchmark, block_chars=block_chars)
+    written = None
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in HIT]))
     for number, items in enumerate(parts):
+        if number:
+            old = written
+            out, written = cut(out, f"hits_{number}")
+            if old:
+                remove(spark, old)
         shared = spark.sparkContext.broadcast(items)
-        drop = not keep_text and number == len(parts) - 1
+        drop = not keep_text and number == n - 1
         names = [c for c in out.columns if c != "_hits" and not (drop and c == text_col)]
         at, hits_at = out.columns.index(text_col), out.columns.index("_hits")
         schema = T.StructType([*[out.schema[c] for c in names], T.StructField("_hits", T.ArrayType(HIT))])

@@ -5,7 +5,8 @@ first SLOTS buckets, a quarter in the next, ...). Groups that alone fill more th
 are packed by themselves; there are at most 3 * shards * HEAVY of them. Those above 1/SPLIT of a shard are split into pieces
 of that size at most. So the driver packs a bounded number of units whatever the size of the table: largest first, each into
 the shard where the dot product of the unit with the shard's residual capacity is highest. The small buckets come last and
-even out what is left; single moves from the largest shard to the smallest then close the gap in bytes.
+even out what is left; single moves from the largest shard to the smallest then close the gap in bytes. Rows are numbered by
+runs of about RUN_ROWS of a unit, whose beginnings are running sums computed on the executors, shard by shard.
 
 Law `bytes`: the shards' sizes are near equal. Equal texts share a shard unless their group is split.
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomark.llm.common import cut, table
+from loomark.llm.common import cut, small, table
 
 SHARDS = 40
 OVERHEAD = 16
@@ -69,10 +70,11 @@ def _bucket(h: Column) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """(id, size, text_crc32, tokens, shard, slot); tokens: a count per row, the words where not given."""
+    """(id, size, text_crc32, tokens, shard, slot); tokens: a count per row, the words (runs of other characters than
+    [\\x20\\x09-\\x0D]) where not given."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++"))
     rows = docs.select(
         F.col(id_col),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
@@ -104,21 +106,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     runs = max(1, int(np.ceil(total[2] / (2 * SLOTS) / RUN_ROWS)))
     keyed = keyed.withColumn("_u", F.coalesce(piece, F.col("_b"))).withColumn("_s", F.pmod(F.xxhash64("_h", "_r"), F.lit(runs)).cast("int"))
 
-    units = keyed.groupBy("_u", "_s").agg(*sums).collect()
-    units.sort(key=lambda u: (u._u, u._s))
-    ids = sorted({u._u for u in units})
-    place = {u: i for i, u in enumerate(ids)}
-    demand = np.zeros((len(ids), 3))
-    for u in units:
-        demand[place[u._u]] += (u.s, u.t, u.n)
+    units, _ = cut(keyed.groupBy("_u", "_s").agg(*sums), "shard_units")
+    whole = units.groupBy("_u").agg(*[F.sum(c).alias(c) for c in "stn"]).collect()  # a row for each bucket and heavy piece
+    whole.sort(key=lambda u: u._u)
+    demand = np.array([[u.s, u.t, u.n] for u in whole], float).reshape(-1, 3)
     shard_of = even(demand[:, 0], pack(demand, shards), shards)
-    used, plan = [0] * shards, []
-    for u in units:
-        s = int(shard_of[place[u._u]])
-        plan.append((u._u, u._s, s, used[s]))
-        used[s] += u.n
-    plan_df = spark.createDataFrame(plan, "_pu int, _ps int, shard int, _base long")
-    out = keyed.join(F.broadcast(plan_df), (F.col("_u") == F.col("_pu")) & (F.col("_s") == F.col("_ps")))
+    plan = spark.createDataFrame([(u._u, int(s)) for u, s in zip(whole, shard_of)], "_u int, shard int")
+    before = Window.partitionBy("shard").orderBy("_u", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    runs_of = units.join(F.broadcast(plan), "_u").select("_u", "_s", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    runs_of, _ = cut(runs_of, "shard_runs")
+    out = keyed.join(F.broadcast(runs_of) if small(runs_of, 200_000) else runs_of, ["_u", "_s"])
     rank = F.row_number().over(Window.partitionBy("_u", "_s").orderBy("_h", "text_crc32", "_r"))
     return out.select(F.col(id_col), "size", "text_crc32", "tokens", "shard", (F.col("_base") + rank - 1).cast("long").alias("slot"))
 

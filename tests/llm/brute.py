@@ -105,3 +105,48 @@ def simhash(text: str | None) -> int:
         return 0
     hs = [xxh64(" ".join(words[i : i + 4]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 3))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def language(text: str | None, model: dict[str, bytes]) -> str:
+    """The language whose dictionary compresses the text's blocks of 4,096 bytes to the least, the first of equals."""
+    import zstandard
+
+    if not text or not model or not any(c.isalpha() for c in text):
+        return "und"
+    how = zstandard.ZstdCompressionParameters.from_level(
+        5, strategy=zstandard.STRATEGY_GREEDY, min_match=3, window_log=18, hash_log=17, chain_log=17, search_log=4, write_content_size=0
+    )
+    raw, best = text.encode(), None
+    for lang in sorted(model):
+        d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        if best is None or size < best[0]:
+            best = (size, lang)
+    return best[1]
+
+
+def edits(window: str, text: str) -> int:
+    """Least edits between the window and any part of the text."""
+    import numpy as np
+
+    w = np.frombuffer(window.encode("utf-32-le"), "<u4")
+    step = np.arange(len(w) + 1)
+    row, least = step.copy(), len(w)
+    for ch in text:
+        new = np.minimum(row + 1, np.concatenate([[0], row[:-1] + (w != ord(ch))]))
+        new[0] = 0
+        row = np.minimum.accumulate(new - step) + step
+        least = min(least, int(row[-1]))
+    return least
+
+
+def contaminated(text: str | None, item: str | None) -> bool:
+    """Whether a window of the item (100 characters, every 20 and the last) occurs in the text with a tenth of edits at most;
+    items under 8 characters as whole words."""
+    text, item = (" ".join((x or "").lower().split()) for x in (text, item))
+    if not item:
+        return False
+    if len(item) < 8:
+        return re.search((r"(?<![^\W_])" if item[0].isalnum() else "") + re.escape(item) + (r"(?![^\W_])" if item[-1].isalnum() else ""), text) is not None
+    starts = {*range(0, max(1, len(item) - 99), 20), max(0, len(item) - 100)}
+    return any(edits(w, text) <= min(len(w) // 10, (len(w) - 8) // 8) for w in (item[s : s + 100] for s in starts))

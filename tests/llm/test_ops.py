@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomark.llm import audio, bpe, decontaminate, langid, line_dedup, pii, queries, simhash, substrings
+from loomark.llm import audio, bpe, decontaminate, langid, line_dedup, pii, queries, sharding, simhash, substrings
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -67,12 +68,40 @@ def test_sql(spark, odd, name, which):
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
 def test_op1(spark, odd, which):
+    """Rows, sizes and checksums by value; gapless slots; the law: sizes differ by no more than the largest row allows."""
     sf = SF if which == "sf" else odd
-    slots = defaultdict(list)
-    for r in queries.QUERIES["op1_sharding"](spark, sf).collect():
+    rows = queries.QUERIES["op1_sharding"](spark, sf).collect()
+    want, words = Counter(), {}
+    for r in table(spark, sf):
+        b = (r.text or "").encode()
+        want[(r.doc_id, len(b) + 16, zlib.crc32(b), len(re.findall("[^ \t-\r]+", r.text or "")))] += 1
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.tokens) for r in rows) == want
+    slots, load = defaultdict(list), Counter({i: 0 for i in range(40)})
+    for r in rows:
+        assert 0 <= r.shard < 40 and r.law == "bytes" and r.grown_shard is None
         slots[r.shard].append(r.slot)
-        assert 0 <= r.shard < 40
+        load[r.shard] += r.size
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    size = [r.size for r in rows]
+    assert which == "odd" or max(load.values()) <= max(sum(size) / 40 + sorted(size)[len(size) // 2], max(size) * 1.01)
+
+
+def test_sharding_splits_hot_groups(spark):
+    """A third of all rows share a text; a table in many runs; bytes near equal, all rows once."""
+    rows = [(i, "hot text " * 50 if i % 3 == 0 else f"own {i} " * (i % 90)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old, sharding.RUN_ROWS = sharding.RUN_ROWS, 1
+    try:
+        got = sharding.assign(docs, 8).collect()
+    finally:
+        sharding.RUN_ROWS = old
+    load, slots = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(r.doc_id for r in got) == list(range(6000))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(load.values()) < 1.02 * min(load.values())
 
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
@@ -287,13 +316,86 @@ def test_op9(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
 
 
-def test_op10(spark):
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_op9_values(spark, odd, which):
+    """Predictions by plain compression with the fitted dictionaries."""
+    sf = SF if which == "sf" else odd
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    want = Counter((r.doc_id, r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2, brute.language(r.text, model)) for r in docs.collect())
+    rows = queries.QUERIES["op9_langid"](spark, sf).collect()
+    assert Counter((r.doc_id, r.held_out, r.lang_pred) for r in rows) == want
+    assert all(r.score == 0 and r.rejected for r in rows if r.lang_pred == "und")
+
+
+def test_language_sample(spark):
+    """Rows of one id, or none, are drawn by their texts; the sample is bounded; noise and mixtures are rejected more often."""
+    rows = [(None if i % 2 else 5, f"some words of text {i} " * 20, "en") for i in range(4000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=1 << 15)
+    assert 1 << 14 < len(model["en"]) <= (1 << 15) + 100
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) > 600")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    own = docs.where(langid.held_out(F.col("doc_id"))).select("text").collect()
+    rng = np.random.default_rng(1)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(100)) for _ in range(40)]
+    share = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string").transform(lambda d: langid.classify(d, model)).where("rejected").count() / len(texts)
+    assert share([r.text for r in own]) < 0.03 and share(noise) > 0.5
+
+
+def test_op10(spark, tmp_path):
+    """Against all windows of all items by edit distance, with quotes at all phases, edits, short items and null ids."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    items = [(1, prose(60)), (None, prose(50)), (3, prose(5)), (4, "ab\ncd"), (5, "  "), (6, None), (7, prose(30).upper())]
+    texts = []
+    for i in range(24):
+        item = " ".join((items[i % 7][1] or "x").lower().split())
+        begin = int(rng.integers(0, max(1, len(item) - 119)))
+        quote = list(item[begin : begin + int(rng.integers(90, 260))])
+        for _ in range(int(rng.integers(0, 16))):
+            at = int(rng.integers(0, max(1, len(quote))))
+            quote[at : at + 1] = list(str(rng.choice(["", "z", "yz"])))
+        texts.append(prose(40) + " " + "".join(quote) + "\n " + prose(40))
+    texts += [None, "", prose(80), "x ab cd.", "xab cd"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name = lambda x: (x is None, x or 0)
+    want = {i: sorted((k for k, item in items if brute.contaminated(t, item)), key=name) for i, t in enumerate(texts)}
+    want = {i: x for i, x in want.items() if x}
+    assert 8 < len(want) < len(texts) - 4
+    rows = queries.QUERIES["op10_decontamination"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: sorted(r.item_ids, key=name) for r in rows} == want
+    # many blocks, few postings at a time
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    again = decontaminate.find(docs, bench, block_chars=400).where(F.size("_hits") > 0).collect()
+    assert {r.doc_id: sorted({h.item_id for h in r._hits}, key=name) for r in again} == want
+    old, decontaminate.POSTINGS = decontaminate.POSTINGS, 7
+    try:
+        index = decontaminate.Index([x for x in items if x[1]])
+        assert {i: sorted({h[0] for h in hits}, key=name) for i, hits in enumerate(index.search(texts)) if hits} == want
+    finally:
+        decontaminate.POSTINGS = old
+
+
+def test_op10_whole_items(spark):
     bench = {r.item_id: decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = {r.doc_id: sorted(i for i, b in bench.items() if b in decontaminate.normal(r.text)) for r in table(spark, SF)}
     got = {r.doc_id: r.item_ids for r in queries.QUERIES["op10_decontamination"](spark, SF).collect()}
     assert got == {d: i for d, i in want.items() if i}
 
 
+def test_verbatim_quotes_are_found():
+    """Every quote of WINDOW + STRIDE - 1 characters, at each phase."""
+    rng = np.random.default_rng(6)
+    item = "".join(rng.choice(list("abcdefg hij"), 400))
+    own = decontaminate.normal(item)
+    index = decontaminate.Index([(1, item)])
+    n = decontaminate.WINDOW + decontaminate.STRIDE - 1
+    assert all(index.search([f"zz {own[i : i + n]} zz" for i in range(len(own) - n)]))
+
+
 def test_decontamination_edits():
     item = "The quick brown fox jumps over the lazy dog while seven wizards box quietly in the dim and dusty attic of the old mill."
     near = item.replace("brown", "red").replace("seven", "eight").replace("  ", " ")
@@ -356,6 +458,35 @@ def test_line_dedup_linear(spark):
     assert {(r._n_lines, r._n_dropped, r._kept == f"own {r.doc_id}") for r in rows} == {(20_002, 20_001, True)}
 
 
+def test_pipeline_values(spark):
+    """The whole pipeline on sf0.001 against plain code."""
+    import corpus_pipeline as c
+    import public_tokenizers as P
+    import tiktoken
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rows = langid.classify(docs, model).collect()
+    kept = {r.doc_id: r.text for r in rows if not r.rejected}
+    assert all(brute.language(r.text, model) != "und" for r in rows if r.doc_id in kept)
+    strip = "\x20\t\n\x0b\f\r"
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(strip))
+    seen = Counter(k for t in kept.values() for k in {key(x) for x in t.split("\n")})
+    kept = {i: "\n".join(x for x in t.split("\n") if not (key(x) and seen[key(x)] >= 10)) for i, t in kept.items()}
+    ids = sorted(kept)
+    codes = np.array([brute.simhash(kept[i]) for i in ids], np.uint64)
+    group = np.arange(len(ids))
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 4
+    while (new := np.array([group[row].min() for row in near])).tolist() != group.tolist():
+        group = new
+    kept = {i: kept[i] for k, i in enumerate(ids) if group[k] == k}
+    bench = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in kept.items() if not any(b in decontaminate.normal(t) for b in bench)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+    want = {(i, len(x := enc.encode_ordinary(t)), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept.items()}
+    assert {tuple(r)[:4] for r in c.run(spark, SF).collect()} == want
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as c
 
