@@ -57,8 +57,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stay, _ = cut(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("_id.k").alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "survivors")
     held = F.broadcast(stay) if small(stay, BROADCAST_ROWS) else stay
     out = docs.withColumn("_key", key).join(held, "_key", "left_semi")
-    if not stay.where("_n > 1").isEmpty():  # rows that are the same in id and text
-        out = out.dropDuplicates(["_key"])
+    if not stay.where("_n > 1").isEmpty():  # rows that are the same in id and text: the one whose other values sort first
+        others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+        out = out.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), others).alias("_r")).select("_r.*")
     return out.select(*docs.columns)
 
 
