@@ -66,6 +66,18 @@ def resolve(url: str, base: str | None) -> str:
     return (path + "/" if re.fullmatch("[^:]+://[^/]+", path) else re.sub("[^/]*$", "", path)) + url
 
 
+def resolve_metadata(url: str, base: str | None) -> str:
+    """Metadata's own rules: only http and https are absolute, and only such a base resolves."""
+    if url.startswith(("http://", "https://", "//")) or not base or not base.startswith(("http://", "https://")):
+        return url
+    if url.startswith("/"):
+        return re.match("https?://[^/]*", base)[0] + url
+    folder = base.rstrip("/")
+    if not folder.endswith(("http:", "https:")) and not re.fullmatch("https?://[^/]*", folder):
+        folder = folder[: folder.rfind("/")]
+    return f"{folder.rstrip('/')}/{url}"
+
+
 def destination(url: str) -> str:
     return f"<{url.replace('<', '%3C').replace('>', '%3E')}>" if re.search("[ ()<>]", url) else url
 
@@ -386,7 +398,7 @@ def metadata(tree: Node, base: str | None) -> dict[str, str | None]:
             if key and out[key] is None:
                 out[key] = content
     canon = next((x.attrs.get("href") for x in find(tree, "link") if "canonical" in x.attrs.get("rel", "").lower().split()), None)
-    to = resolve(canon, base) if canon else base
+    to = resolve_metadata(canon, base) if canon else base
     out["url"] = to if to and not dangerous(to) else None
     return out
 
