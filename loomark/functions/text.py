@@ -88,12 +88,19 @@ def normalize_label(c: Column) -> Column:
     return F.btrim(F.regexp_replace(s, "_+", "_"), F.lit("_"))
 
 
+#: Bytes of a page in which a charset is looked for.
+SNIFFED = 1024
+
+
 def detect_charset(content_type: Column, html: Column) -> Column:
-    """Content-Type's charset, else that of a meta tag in the first 1024 characters, else UTF-8; upper case."""
-    head = F.substring(html, 1, 1024)
+    """Content-Type's charset, else that of a meta tag in the first 1024 bytes, <meta charset> before the http-equiv form, else
+    UTF-8; upper case."""
+    # bytes as Latin-1 characters: markup and labels are ASCII
+    head = F.decode(F.substring(F.encode(html, "UTF-8"), 1, SNIFFED), "ISO-8859-1")
     found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
     return F.upper(F.coalesce(
         found(content_type, r'(?i)charset\s*=\s*"?([^";,\s]+)"?'),
+        found(head, r"(?i)<meta\s+charset\s*=\s*[\"']?([^\"'>;\s/]+)"),
         found(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([^\"'>;\s/]+)"),
         F.lit("UTF-8"),
     ))

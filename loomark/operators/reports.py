@@ -24,20 +24,56 @@ def token_reduction(n_in: Column, n_out: Column, factor: float = 1.0) -> Column:
     return F.when(n_in <= 0, 0.0).otherwise((1 - n_out / n_in) * 100.0 * factor)
 
 
+#: Ranges into which a group's values are cut to find a rank.
+RANGES = 256
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, ps: dict[str, float], digits: int | None = None) -> DataFrame:
+    """(by, a column for each of ps): exact percentiles, interpolated between ranks; null values don't count.
+
+    No group ever meets in one task: values are counted where they lie; cuts of about equal shares (approximate ones do) make
+    RANGES ranges of each group; sums by range tell which range holds a rank; and only the distinct values of those
+    few ranges are put in order."""
+    rows = rows.where(F.col(value).isNotNull())
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, c in enumerate(by)] or [F.lit("").alias("_k0")]
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).select(*keys, *by, F.col(value).cast("double").alias("_v"), "_n")
+    cuts = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*names).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total"))
+    ranged = counts.join(cuts, names).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    sums = ranged.groupBy(*names, "_range").agg(F.sum("_n").alias("_sum"), F.first("_total").alias("_total"))
+    below = F.coalesce(F.sum("_sum").over(W.partitionBy(*names).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # RANGES rows at most
+    at = lambda p: F.lit(p) * (F.col("_total") - 1)
+    wanted = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in ps.values() for f in (F.floor, F.ceil)]))
+    held = sums.withColumn("_below", below).withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_sum")))).where(F.size("_ranks") > 0)
+    values = ranged.drop("_cuts", "_total").join(held.select(*names, "_range", "_below", "_ranks", "_total"), [*names, "_range"])
+    first = F.col("_below") + F.coalesce(F.sum("_n").over(W.partitionBy(*names, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    picked = values.withColumn("_first", first).select(*names, *by, "_total", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")))).alias("_rank"))
+    found = []
+    for name, p in ps.items():
+        low, high = (F.max(F.when(F.col("_rank") == f(at(p)).cast("long"), F.col("_v"))) for f in (F.floor, F.ceil))
+        part = F.max(at(p) - F.floor(at(p)))
+        got = low + (high - low) * part
+        found.append((F.round(got, digits) if digits is not None else got).alias(name))
+    return picked.groupBy(*names, *by).agg(*found).select(*by, *ps)
+
+
 def summary(results: DataFrame, *by: str, factor: float = 1.0) -> DataFrame:
-    """results (result, input_bytes, output_bytes, latency_ms) -> one row per group: counts, rates, bytes, percentiles. One pass."""
+    """results (result, input_bytes, output_bytes, latency_ms) -> one row per group: counts, rates, bytes, percentiles."""
     n, done = F.count(F.lit(1)), F.col("result") == "converted"
     i, o = F.col("input_bytes"), F.col("output_bytes")
     weighted = F.sum(F.when(done & (i > 0), token_reduction(i, o, factor) * i)) / F.sum(F.when(done & (i > 0), i))
-    return results.groupBy(*by).agg(
+    counted = results.groupBy(*by).agg(
         n.alias("fixtures"),
         *[F.count_if(F.col("result") == r).alias(r.replace("-", "_")) for r in ("converted", "skipped", "failed-open")],
         F.round(F.when(n > 0, F.count_if(F.col("result") == "failed-open") / n * 100).otherwise(0.0), 2).alias("fallback_rate"),
         F.round(F.coalesce(weighted, F.lit(0.0)), 2).alias("token_reduction"),
         F.coalesce(F.sum(i), F.lit(0)).alias("input_total"),
         F.coalesce(F.sum(F.when(done, o)), F.lit(0)).alias("output_total"),
-        *[F.round(F.coalesce(F.percentile("latency_ms", F.lit(p)), F.lit(0.0)), 2).alias(f"p{k}") for k, p in TOP.items()],
     )
+    held = exact_percentiles(results, list(by), "latency_ms", {f"p{k}": p for k, p in TOP.items()}, 2)
+    names = {c: f"_by{k}" for k, c in enumerate(by)}
+    joined = counted.join(held.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(x)) for c, x in names.items()] or F.lit(True), "left")
+    return joined.select(*counted.columns, *[F.coalesce(f"p{k}", F.lit(0.0)).alias(f"p{k}") for k in TOP])
 
 
 def examples(results: DataFrame) -> DataFrame:

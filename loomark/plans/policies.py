@@ -170,7 +170,7 @@ SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'passthrough' WHEN page_id % 9 =
 
 
 def chunked(spark, sf_dir):
-    done = convert_chunks(slice_bytes(pages(spark, sf_dir), CHUNK)).where("status = 'converted'")
+    done = convert_chunks(slice_bytes(pages(spark, sf_dir), CHUNK))
     return done.select("page_id", F.sha2("markdown", 256).alias("md_sha256"), F.char_length("markdown").cast("long").alias("n_chars"), X.estimate_tokens(F.col("markdown")).alias("n_tokens"))
 
 

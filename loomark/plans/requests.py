@@ -101,32 +101,19 @@ SELECT reason, count(*) AS n, sum(content_length)::BIGINT AS bytes FROM (
 def text_functions(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = F.col("text")
-    return d.select("doc_id", X.estimate_tokens(t, 3.8).alias("tokens"), F.sha2(X.normalize_text(t), 256).alias("normal_sha256"), F.char_length(X.yaml_escape(t)).cast("long").alias("yaml_chars"), X.normalize_label(F.substring(t, 1, 40)).alias("label"), F.char_length(X.escape_label(t)).cast("long").alias("label_chars"))
+    return d.select("doc_id", X.estimate_tokens(t, 3.8).alias("tokens"), F.sha2(X.normalize_text(t), 256).alias("normal_sha256"), F.char_length(X.yaml_escape(t)).cast("long").alias("yaml_chars"), F.sha2(X.normalize_label(t), 256).alias("label_sha256"), F.char_length(X.escape_label(t)).cast("long").alias("label_chars"))
 
 
 TEXT_SQL = r"""
 SELECT doc_id, ceil(cast(cast(length(text) AS FLOAT) / cast(3.8 AS FLOAT) AS FLOAT))::BIGINT AS tokens,
   sha256(trim(regexp_replace(text, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS normal_sha256,
   length(text) + length(text) - length(regexp_replace(text, '[\\"\n\r\t]', '', 'g')) AS yaml_chars,
-  trim(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 40), '[- ]', '_', 'g')), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS label,
+  sha256(trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[- ]', '_', 'g')), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')) AS label_sha256,
   length(text) + length(text) - length(regexp_replace(text, '[\[\]\\]', '', 'g')) AS label_chars
 FROM documents
 """
 
 
-def text_labels(spark, sf_dir):
-    """Labels of whole texts, as digests; text_functions gives that of the first 40 characters."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    label = X.normalize_label(F.col("text"))
-    return d.select("doc_id", F.sha2(label, 256).alias("label_sha256"), F.char_length(label).cast("long").alias("label_chars"))
-
-
-LABELS_SQL = r"""
-SELECT doc_id, sha256(label) AS label_sha256, length(label) AS label_chars FROM (
-  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[- ]', '_', 'g')), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS label FROM documents)
-"""
-
-
 def page_functions(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     h = F.col("html")
@@ -139,5 +126,5 @@ SELECT page_id, strlen(html) * 7 + (length(html) - length(replace(html, '<', '')
 FROM pages
 """
 
-QUERIES = {"accept_negotiation": accept, "eligibility": eligible, "conditional_requests": conditional, "base_url": base_urls, "decision_chain": chain, "text_functions": text_functions, "text_labels": text_labels, "page_functions": page_functions}
-ORACLE_SQL = {"accept_negotiation": ACCEPT_SQL, "eligibility": ELIGIBLE_SQL, "conditional_requests": CONDITIONAL_SQL, "base_url": BASE_SQL, "decision_chain": CHAIN_SQL, "text_functions": TEXT_SQL, "text_labels": LABELS_SQL, "page_functions": PAGE_SQL}
+QUERIES = {"accept_negotiation": accept, "eligibility": eligible, "conditional_requests": conditional, "base_url": base_urls, "decision_chain": chain, "text_functions": text_functions, "page_functions": page_functions}
+ORACLE_SQL = {"accept_negotiation": ACCEPT_SQL, "eligibility": ELIGIBLE_SQL, "conditional_requests": CONDITIONAL_SQL, "base_url": BASE_SQL, "decision_chain": CHAIN_SQL, "text_functions": TEXT_SQL, "page_functions": PAGE_SQL}

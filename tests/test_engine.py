@@ -13,12 +13,12 @@ from hypothesis import strategies as st
 
 from loomark.functions.markdown import Options, convert, normalise
 from loomark.functions.blake3 import digests
-from loomark.plans import conversion, metrics, policies, reports, requests
+from loomark.plans import checks, conversion, markup, metrics, policies, reports, requests
 from loomark.sources.decoding import inflate
 from loomark.streaming.chunks import convert_chunks, slice_bytes
 
 SF = "/root/testdata/sf0.001"
-PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, requests, metrics, policies, reports) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
+PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, markup, requests, checks, metrics, policies, reports) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
 
 
 @pytest.fixture(scope="module")
@@ -48,9 +48,9 @@ def test_whole_texts_and_tables(spark, tmp_path):
     spark.createDataFrame([(i, "u", "h") for i in (4, 7, 8, 9)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     labels = ["x" * 40 + "_one", "x" * 40 + "_two", "a_b_c"]
-    got = {r.doc_id: (r.label_sha256, r.label_chars) for r in requests.QUERIES["text_labels"](spark, str(tmp_path)).collect()}
-    assert got == {i: (sha(t), len(t)) for i, t in enumerate(labels, 7)}
-    got = {r.scenario: r.problem for r in reports.QUERIES["table_coverage"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.label_sha256 for r in requests.QUERIES["text_functions"](spark, str(tmp_path)).collect()}
+    assert got == {i: sha(t) for i, t in enumerate(labels, 7)}
+    got = {r.scenario: r.problem for r in reports.QUERIES["evidence_coverage"](spark, str(tmp_path)).collect()}
     assert got == {4: "unknown", 8: "duplicate", 9: "missing"}
 
 
