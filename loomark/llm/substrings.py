@@ -8,16 +8,16 @@ enter the first buckets, not every suffix. The strings of one anchor start side
 2. Initial buckets: anchors by their Q-gram's identifier. A bucket of one is done: its strings occur once.
 3. A bucket's runs are refined by the identifier of all their bytes, from the first string's offset to the last one's. Runs that
    agree are duplicates as a whole, and one of them stands for its class. A bucket without other runs is done.
-4. The strings of the runs that are left are refined in rounds. A round orders the strings by (identifier of the last round,
-   identifier of the bytes at a later offset); only strings whose new bucket has another member go on, and their identifiers are
-   what the next round refines. Round 0 starts from (anchor's bucket, offset of the anchor) and adds the first HALF bytes; the
-   last one adds the bytes from LENGTH - HALF on.
+4. The strings of the runs that are left are refined recursively, by their anchors' offsets in ranges of GRIDS (the last of one
+   offset). A bucket is that of the identifier which refines the anchor's bucket by the bytes that all strings of a range share;
+   alone in it, all strings of a range occur once. Others are refined by the identifier of all bytes of the range: ranges that
+   agree are duplicates as a whole and one of them stands for its class; in buckets of several classes each goes on to the next
+   grid. So every step sorts by identifiers of the last one's buckets and of bytes at later offsets, and settles what it can.
 
-Identifiers of steps 2 and 4's first round are 64-bit polynomial hashes over random bytes' values, finally mixed: they only rule
-strings out. Those that prove equality (step 3 and the last round) are 128-bit BLAKE2b digests of the bytes themselves, and
-texts are told apart by two 64-bit hashes. Buckets are counted before they are shuffled, and the joins back are of many rows to
-one, which the engine splits where a key is hot. Memory of a task is that of CHUNK bytes of text, a batch of rows, and a text
-with its open runs.
+Identifiers that only rule strings out are 64-bit polynomial hashes over random bytes' values, finally mixed. Those that prove
+equality are 128-bit BLAKE2b digests of the bytes themselves, and texts are told apart by two 64-bit hashes. Buckets are counted
+before they are shuffled, and the joins back are of many rows to one, which the engine splits where a key is hot. Memory of
+a task is that of CHUNK bytes of text, a batch of rows, and a text with its open runs.
 
 Defined cases: null and empty texts keep nothing and lose nothing; texts under LENGTH bytes stay; strings never cross
 documents; overlapping occurrences in one document count; null ids and repeated rows are rows of their own; an empty table
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from loomark.llm.common import cut, remove, small, small_batches, table
 
 LENGTH, Q = 200, 64
-#: Bytes that a round's identifier covers.
-HALF = 128
+#: Offsets in a range, step by step.
+GRIDS = (32, 8, 1)
 #: Offsets that an anchor may have in a string.
 SPAN = LENGTH - Q + 1
 CHUNK = 1 << 19
@@ -130,11 +130,11 @@ def _pieces(texts: list[memoryview]) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 ANCHOR = "k1 long, k2 long, p long, shape long, bucket long, a1 long, a2 long"
 RUN = "k1 long, k2 long, p long, shape long, bucket long, single boolean, raw binary"
-ROUND = "k1 long, k2 long, p long, o int, single boolean, "
+UNIT = "k1 long, k2 long, p long, a int, b int, single boolean, core long, d1 long, d2 long"
 
 
 def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.rstrip(", ").split(", ")]
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,49 +165,41 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], _names(RUN))
 
 
-def _strings(last: bool):
-    """Runs -> a row per string with its identifier: of round 0, or (runs have a list `alive` of offsets) of the last round."""
-    names = _names(ROUND) + (["d1", "d2"] if last else ["d"])
+def _units(grid: int):
+    """Runs, or runs with a list `parts` of (first and last offset, single) -> a row per range of the grid: the identifier of
+    the bytes that all its strings share, and the digest of all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                k1, k2, p, shape, bucket, single = (part.column(j).to_numpy(zero_copy_only=False) for j in range(6))
-                texts = [x.as_buffer() for x in part.column(6)]
+                rows = batch.slice(i, 1000)
+                k1, k2, p, shape, bucket, single = (rows.column(j).to_numpy(zero_copy_only=False) for j in range(6))
+                texts = [x.as_buffer() for x in rows.column(6)]
                 size = np.array([x.size for x in texts])
-                base, most, least = np.cumsum(size) - size, shape >> 8, shape & 255
                 joined = b"".join(texts)
-                if last:
-                    alive = part.column(7)
-                    n = alive.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    own = np.repeat(np.arange(len(n)), n)
-                    o = alive.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                else:
-                    n = most - least + 1
-                    own = np.repeat(np.arange(len(n)), n)
-                    o = most[own] - (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
-                if not len(own):
-                    continue
-                begin = base[own] + most[own] - o
-                if last:
-                    view = memoryview(joined)
-                    got = b"".join([blake2b(view[b : b + LENGTH], digest_size=16).digest() for b in begin.tolist()])
-                    ids = np.frombuffer(got, "<i8").reshape(-1, 2).T
-                else:
-                    before = _mix(bucket.view(np.uint64)[own] * np.uint64(3) + o.astype(np.uint64))
-                    ids = [_mix(before ^ _ids(_sums(np.frombuffer(joined, np.uint8)), begin, begin + HALF)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[own], k2[own], p[own], o.astype(np.int32), single[own].astype(bool), *ids)], names)
+                view, sums = memoryview(joined), _sums(np.frombuffer(joined, np.uint8))
+                of, a, b = np.arange(len(k1)), shape & 255, shape >> 8
+                anchor = np.cumsum(size) - size + b
+                if rows.num_columns > 7:
+                    parts = rows.column(7)
+                    of = np.repeat(of, parts.value_lengths().to_numpy(zero_copy_only=False))
+                    flat = parts.flatten()
+                    a, b, single = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                    a, b = a.astype(np.int64), b.astype(np.int64)
+                n = b // grid - a // grid + 1
+                own = np.repeat(np.arange(len(n)), n)
+                k = (a // grid)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                r, a, b = of[own], np.maximum(a[own], k * grid), np.minimum(b[own], (k + 1) * grid - 1)
+                at = anchor[r]
+                before = _mix(bucket.view(np.uint64)[r] * np.uint64(3) + (k * 64 + grid).astype(np.uint64))
+                core = _mix(before ^ _ids(sums, at - k * grid, at - (k + 1) * grid + 1 + LENGTH))
+                got = b"".join([blake2b(view[x:y], digest_size=16).digest() for x, y in zip((at - b).tolist(), (at - a + LENGTH).tolist())])
+                columns = (k1[r], k2[r], p[r], a.astype(np.int32), b.astype(np.int32), single[own].astype(bool), core.view(np.int64), *np.frombuffer(got, "<i8").reshape(-1, 2).T)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(UNIT))
 
     return run
 
 
-def _shared(strings: DataFrame, *keys: str) -> DataFrame:
-    """The strings whose bucket has another member."""
-    twice, _ = cut(strings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "shared")
-    return strings.join(_hint(twice, BROADCAST_ROWS), list(keys), "left_semi")
-
-
 def _keep(length: int):
     """(id, text bytes, spans of starts, whole) -> (id, n_bytes, kept, spans removed)."""
 
@@ -278,21 +270,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     remove(spark, text_path)
     release(spark)
 
-    strings, strings_path = cut(runs.mapInArrow(_strings(False), f"{ROUND}d long"), "strings_0")
-    alive = _shared(strings, "d").groupBy("k1", "k2", "p").agg(F.collect_list("o").alias("alive"))
-    alive, alive_path = cut(alive, "alive_0")
-    remove(spark, strings_path)
-    release(spark)
-    again = runs.join(alive, ["k1", "k2", "p"])
-    strings, strings_path = cut(again.select(*_names(RUN), "alive").mapInArrow(_strings(True), f"{ROUND}d1 long, d2 long"), "strings_1")
-    proven = _shared(strings, "d1", "d2").where("single").groupBy("k1", "k2", "p").agg(F.collect_list("o").alias("o"))
-    at, p = F.col("o"), F.col("p")
-    low, high = F.array_min(at), F.array_max(at)
-    ranges = F.when(high - low + 1 == F.size(at), F.array(F.struct((p - high).alias("lo"), (p - low).alias("hi")))).otherwise(F.transform(at, lambda o: F.struct((p - o).alias("lo"), (p - o).alias("hi"))))
-    some, _ = cut(proven.select("k1", "k2", F.inline(ranges)), "proven")
-    remove(spark, runs_path, alive_path, strings_path)
-    release(spark)
-    return copies, settled.union(uniform).union(some)
+    spans = settled.union(uniform)
+    open_runs, parts_path, of_class = runs, None, ["core", "d1", "d2"]
+    for grid in GRIDS:
+        units, units_path = cut(open_runs.mapInArrow(_units(grid), UNIT), f"units_{grid}")
+        classes, classes_path = cut(units.groupBy(*of_class).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("_m")), f"classes_{grid}")
+        twice = _hint(classes.where("_n > 1").select(*of_class), BROADCAST_ROWS)
+        equal = units.where("single").join(twice, of_class, "left_semi")
+        spans = spans.union(cut(equal.select("k1", "k2", (F.col("p") - F.col("b")).alias("lo"), (F.col("p") - F.col("a")).alias("hi")), f"settled_{grid}")[0])
+        remove(spark, units_path, *([parts_path] if parts_path else []))
+        if grid > 1:
+            several, _ = cut(classes.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"), f"several_{grid}")
+            part = F.struct(F.col("_m.a").alias("a"), F.col("_m.b").alias("b"), (F.col("_n") == 1).alias("single"))
+            more = classes.join(_hint(several, BROADCAST_ROWS), "core", "left_semi").groupBy(*[F.col(f"_m.{c}").alias(c) for c in ("k1", "k2", "p")]).agg(F.collect_list(part).alias("parts"))
+            open_runs, parts_path = cut(runs.join(more, ["k1", "k2", "p"]).select(*_names(RUN), "parts"), f"parts_{grid}", compression="zstd")
+        remove(spark, classes_path)
+        release(spark)
+    remove(spark, runs_path)
+    return copies, spans
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:
