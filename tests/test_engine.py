@@ -13,12 +13,12 @@ from hypothesis import strategies as st
 
 from loomark.functions.markdown import Options, convert, normalise
 from loomark.functions.blake3 import digests
-from loomark.plans import checks, conversion, markup, metrics, policies, reports, requests
+from loomark.plans import checks, conversion, markup, metrics, policies, reports, requests, streams
 from loomark.sources.decoding import inflate
 from loomark.streaming.chunks import convert_chunks, slice_bytes
 
 SF = "/root/testdata/sf0.001"
-PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, markup, requests, checks, metrics, policies, reports) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
+PLANS = [(n, q, p.ORACLE_SQL[n]) for p in (conversion, markup, requests, checks, metrics, policies, reports, streams) for n, q in p.QUERIES.items() if n in p.ORACLE_SQL]
 
 
 @pytest.fixture(scope="module")
