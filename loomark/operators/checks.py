@@ -120,8 +120,8 @@ def decide_conditional(mode: Column, has_range: Column, no_transform: Column, if
     If-None-Match first, and at dates only without it."""
     from loomark.operators.decisions import not_modified
 
-    of = lambda hit, why, header: F.struct(F.when(hit, "not_modified").otherwise("proceed").alias("outcome"), F.lit(why).alias("reason"), F.lit(header).alias("header"))
-    fixed = lambda outcome, why: F.struct(F.lit(outcome).alias("outcome"), F.lit(why).alias("reason"), F.lit("none").alias("header"))
+    of = lambda hit, why, header: F.named_struct(F.lit("outcome"), F.when(hit, "not_modified").otherwise("proceed"), F.lit("reason"), F.lit(why), F.lit("header"), F.lit(header))
+    fixed = lambda outcome, why: F.named_struct(F.lit("outcome"), F.lit(outcome), F.lit("reason"), F.lit(why), F.lit("header"), F.lit("none"))
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("long")
     dates = of(not_modified(none, etag, if_modified_since, last_modified), "ims_evaluated", "if_modified_since")
     tags = of(not_modified(if_none_match, etag, nothing, nothing), "inm_evaluated", "if_none_match")

@@ -24,7 +24,7 @@ def q_value(params: Column) -> Column:
 def accept_entries(header: Column) -> Column:
     """Array of (mime, q) of an Accept header."""
     parts = F.filter(F.slice(F.split(header, ","), 1, MAX_ENTRIES), lambda e: F.btrim(e) != "")
-    each = F.transform(parts, lambda e: F.struct(F.lower(F.btrim(F.substring_index(e, ";", 1))).alias("mime"), q_value(e).alias("q")))
+    each = F.transform(parts, lambda e: F.named_struct(F.lit("mime"), F.lower(F.btrim(F.substring_index(e, ";", 1))), F.lit("q"), q_value(e)))
     return F.filter(each, lambda e: F.char_length(e["mime"]) <= MAX_MIME)
 
 
@@ -133,6 +133,29 @@ def cidr_contains(ip: Column, net: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def prefix_bits(ip: Column) -> Column:
+    """The 128 bits of an address as text; null for text that is none."""
+    nibbles = F.transform(F.split(ip_hex(ip), "(?<=.)(?=.)"), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
+    return F.array_join(nibbles, "")
+
+
+def in_networks(rows: DataFrame, nets: DataFrame, ip: str = "ip", net: str = "net") -> DataFrame:
+    """rows with the column trusted: whether the address lies in any of the table's networks (a.b.c.d/p or IPv6/p; without /p an
+    address of its own). A range join as a join by equality: an address has one prefix of each length that the networks have
+    (129 at most), and each meets its own networks only. Networks that are none match nothing; IPv4 addresses lie in no IPv6 net."""
+    base, given = F.substring_index(F.btrim(net), "/", 1), F.regexp_extract(F.btrim(net), r"/([0-9]{1,3})$", 1)
+    six = ~base.rlike(r"^[0-9.]+$")
+    length = F.when(F.contains(F.btrim(net), F.lit("/")), given.try_cast("int")).otherwise(F.when(six, 128).otherwise(32))
+    bits = F.when(six, length).otherwise(length + 96)
+    known = nets.select(prefix_bits(base).alias("_b"), bits.alias("_n"), six.alias("_six"), (length <= F.when(six, 128).otherwise(32)).alias("_ok")).where("_ok and _b is not null")
+    known = known.select("_n", F.substring("_b", F.lit(1), F.col("_n")).alias("_prefix"), "_six").distinct()
+    lengths = sorted(r._n for r in known.select("_n").distinct().collect())  # 129 rows at most
+    own = rows.select(F.col(ip).alias("_ip"), prefix_bits(F.col(ip)).alias("_bits")).where("_bits is not null").distinct()
+    each = own.select("_ip", F.explode(F.array(*[F.struct(F.lit(n).alias("_n"), F.substring("_bits", F.lit(1), F.lit(n)).alias("_prefix")) for n in lengths])).alias("x")).select("_ip", "x.*") if lengths else own.select("_ip", F.lit(0).alias("_n"), F.lit("").alias("_prefix")).limit(0)
+    hits = each.join(known, ["_n", "_prefix"]).where(~F.col("_six") | F.contains("_ip", F.lit(":"))).select("_ip").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hits, F.col(ip) == F.col("_ip"), "left").withColumn("trusted", F.coalesce("_hit", F.lit(False))).drop("_ip", "_hit")
+
+
 def validate_host(host: Column) -> Column:
     """The host, with its port if any, or null: ASCII only; no blanks, control characters or , @ / ? \\ #; IPv6 in brackets."""
     port = F.regexp_extract(host, r":([0-9]+)$", 1)
@@ -151,7 +174,7 @@ def base_url(trusted: Column, forwarded: Column, x_host: Column, x_proto: Column
     part = lambda k: F.nullif(F.regexp_extract(last, rf'(?i)(?:^|;)\s*{k}="?([^";]+)"?', 1), F.lit(""))
     valid = lambda h: validate_host(h).isNotNull()
     proto = lambda p: F.when(F.lower(F.btrim(p)).isin("http", "https"), F.lower(F.btrim(p)))
-    join = lambda p, h, s: F.struct(F.concat(p, F.lit("://"), h).alias("base_url"), F.lit(s).alias("source"))
+    join = lambda p, h, s: F.named_struct(F.lit("base_url"), F.concat(p, F.lit("://"), h), F.lit("source"), F.lit(s))
     return (
         F.when(trusted & valid(part("host")) & proto(part("proto")).isNotNull(), join(proto(part("proto")), part("host"), "forwarded"))
         .when(trusted & valid(x_host) & proto(x_proto).isNotNull(), join(proto(x_proto), x_host, "x_forwarded"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomark.functions import text as X
 from loomark.operators import checks as C
+from loomark.operators import decisions as D
 
 
 def pages(spark, sf_dir):
@@ -228,7 +229,27 @@ WITH b AS (SELECT page_id, {BITS} AS x, md5(url) AS d FROM pages)
 SELECT page_id, upper(CASE WHEN x & 1 <> 0 THEN 'x-' || substr(d, 1, 4) WHEN x & 96 = 96 THEN 'utf-8' WHEN x & 16 <> 0 THEN 'm' || substr(d, 5, 3) WHEN x & 8 <> 0 AND x & 128 <> 0 THEN 'h' || substr(d, 5, 3) ELSE 'utf-8' END) AS charset FROM b
 """
 
+
+
+def trusted_sources(spark, sf_dir):
+    """Addresses made of the url's digest against networks of several lengths made of the nations."""
+    n = F.col("n_nationkey").cast("string")
+    nets = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("10."), n, F.lit(".0.0/16"))).when(F.col("n_nationkey") % 3 == 1, F.concat(n, F.lit(".0.0.0/8"))).otherwise(F.concat(F.lit("2001:db8:"), n, F.lit("::/48"))).alias("net"))
+    nets = nets.union(spark.createDataFrame([("bad/8",), ("1.2.3.4/40",), ("200.1.2.3",)], "net string"))
+    a, b = (F.conv(F.substring(F.md5("url"), k, 2), 16, 10) for k in (1, 3))
+    ip = F.when(F.col("page_id") % 4 == 0, F.concat_ws(".", F.lit("10"), (a.cast("int") % 30).cast("string"), b, F.lit("1"))).when(F.col("page_id") % 4 == 1, F.concat_ws(".", (a.cast("int") % 40).cast("string"), b, F.lit("0.9"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("2001:DB8:"), (a.cast("int") % 30).cast("string"), F.lit("::"), b)).otherwise(F.when(b.cast("int") % 2 == 0, "200.1.2.3").otherwise("no address"))
+    return D.in_networks(pages(spark, sf_dir).select("page_id", ip.alias("ip")), nets)
+
+
+TRUSTED_SQL = """
+WITH p AS (SELECT page_id, ('0x' || substr(md5(url), 1, 2))::INT AS a, ('0x' || substr(md5(url), 3, 2))::INT AS b FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '10.' || a % 30 || '.' || b || '.1' WHEN 1 THEN a % 40 || '.' || b || '.0.9' WHEN 2 THEN '2001:DB8:' || a % 30 || '::' || b ELSE CASE WHEN b % 2 = 0 THEN '200.1.2.3' ELSE 'no address' END END AS ip,
+  CASE page_id % 4 WHEN 0 THEN (a % 30 < 25 AND a % 30 % 3 = 0) OR EXISTS (FROM nation WHERE n_nationkey % 3 = 1 AND n_nationkey = 10) WHEN 1 THEN (a % 40 < 25 AND a % 40 % 3 = 1) OR (a % 40 = 10 AND b < 25 AND b % 3 = 0) WHEN 2 THEN a % 30 < 25 AND a % 30 % 3 = 2 ELSE b % 2 = 0 END AS trusted
+FROM p
+"""
+
 _ALL = {
+    "trusted_sources": (trusted_sources, TRUSTED_SQL),
     "attribute_checks": (attributes, ATTRIBUTES_SQL), "url_checks": (url_checks, URL_SQL), "code_texts": (code_texts, CODE_SQL), "label_words": (label_words, LABEL_WORDS_SQL),
     "flag_decisions": (decisions, DECISIONS_SQL), "reason_counters": (reasons, REASONS_SQL), "failure_reasons": (failures, FAILURES_SQL), "conditional_modes": (conditional_modes, CONDITIONAL_SQL),
     "span_json": (spans, SPANS_SQL), "metric_paths": (metric_paths, METRIC_PATHS_SQL), "metric_names": (metric_names, METRIC_NAMES_SQL), "path_coverage": (path_coverage, PATH_COVERAGE_SQL), "charset_detection": (charsets, CHARSETS_SQL),

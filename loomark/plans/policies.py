@@ -55,13 +55,21 @@ SELECT page_id, status, CASE status WHEN 'ok' THEN 0 WHEN 'budget_exceeded' THEN
 
 
 def charset_decoding(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    raw = F.when(k == 1, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
-    name = F.when(k == 1, "UTF-16LE").when(k == 2, "x-unknown").when(k == 3, F.lit(None).cast("string")).otherwise("utf-8")
+    """Whole documents in several encodings under labels of any case, unknown ones, names of codecs that are no charset, and
+    bytes that are not of the encoding."""
+    k = F.col("doc_id") % 10
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", "?"), "ISO-8859-1")
+    euro = F.concat(latin, F.unhex(F.lit("80939499")))
+    raw = F.when(k == 1, F.encode("text", "UTF-16LE")).when(k == 4, F.encode("text", "UTF-16BE")).when(k.isin(5, 6), euro).when(k == 9, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "UTF-8"))
+    names = {1: " UTF-16 ", 2: "x-unknown", 4: "utf-16BE", 5: "ISO-8859-1", 6: "windows-1252", 7: "rot13", 8: "zlib", 9: "UTF8"}
+    name = F.lit("Utf-8")
+    for i, n in names.items():
+        name = F.when(k == i, n).otherwise(name)
+    name = F.when(k != 3, name)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(decoding.decode_text(raw, name), 256).alias("text_sha256"))
 
 
-CHARSET_SQL = "SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN sha256(text) END AS text_sha256 FROM documents"
+CHARSET_SQL = """SELECT doc_id, CASE WHEN doc_id % 10 IN (5, 6) THEN sha256(regexp_replace(text, '[^\\x00-\\x7F\\x{A0}-\\x{FF}]', '?', 'g') || '€“”™') WHEN doc_id % 10 IN (0, 1, 3, 4) THEN sha256(text) END AS text_sha256 FROM documents"""
 
 
 def http_dates(spark, sf_dir):

@@ -129,6 +129,18 @@ def test_inflate():
     assert inflate(b"x", "identity", 9) == ("ok", b"x")
 
 
+def test_charset_labels():
+    from loomark.sources.decoding import codec_labels, decode_bytes
+
+    for label, codec in codec_labels().items():
+        assert "a".encode(codec) and decode_bytes("a".encode(codec), label.upper()) == "a", label
+    assert decode_bytes(b"\x80\x81", "latin1") == "€\x81" and decode_bytes(b"\xd0", "iso-8859-9") == "Ğ"
+    assert decode_bytes(b"\xaa", "windows-1253") is None and decode_bytes(b"\xff", "windows-874") is None
+    assert decode_bytes("日本".encode("cp932"), "shift_jis") == "日本" and decode_bytes(b"\x81", "sjis") is None
+    for name in ("rot13", "zlib", "hex", "base64", "bz2", "idna", "punycode", "unicode_escape", "", "utf-7"):
+        assert decode_bytes(b"abc", name) is None
+
+
 def test_chunks_as_a_stream(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 6")
     chunks = slice_bytes(pages, 700)
