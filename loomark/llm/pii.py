@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomark.llm.common import aside, table
+from loomark.llm.common import aside, spread, table
 
 CONTEXT = 40
 #: Kind -> pattern, in the order of equal starts.
@@ -146,7 +146,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("_spans", lambda s: s["rank"] < len(BASE))
     return found.select(
