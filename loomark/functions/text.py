@@ -84,8 +84,8 @@ def parser_working_set(html: Column) -> Column:
 
 
 def normalize_label(c: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.regexp_replace(c, "[- ]", "_")), "[^a-z0-9_]", "")
-    return F.btrim(F.regexp_replace(s, "_+", "_"), F.lit("_"))
+    s = F.regexp_replace(F.lower(F.translate(c, "- ", "__")), "[^a-z0-9_]+", "")
+    return F.btrim(F.regexp_replace(s, "__+", "_"), F.lit("_"))
 
 
 #: Bytes of a page in which a charset is looked for.

@@ -48,6 +48,11 @@ def negotiate_accept(header: Column, wildcard: bool = False) -> Column:
     )
 
 
+def accept_decision(mode: Column, header: Column) -> Column:
+    """The decision under a mode: strict, wildcard (*/* and text/* stand for Markdown), or force, which doesn't look at the header."""
+    return F.when(mode == "force", "convert").when(mode == "wildcard", negotiate_accept(header, True)).otherwise(negotiate_accept(header))
+
+
 def content_type_matches(content_type: Column, allowed: tuple[str, ...] = ("text/html",)) -> Column:
     out = F.lit(False)
     for a in allowed:
@@ -85,6 +90,11 @@ def is_authenticated(authorization: Column, cookie: Column, patterns: tuple[str,
     return authorization.isNotNull() | F.exists(cookie_names(cookie), hit)
 
 
+def access(policy: Column, authorization: Column, cookie: Column, no_transform: Column) -> Column:
+    """eligible; denied for authenticated requests under the policy deny; bypass where the response must not be transformed."""
+    return F.when((policy == "deny") & is_authenticated(authorization, cookie), "denied").when(F.coalesce(no_transform, F.lit(False)), "bypass").otherwise("eligible")
+
+
 def not_modified(if_none_match: Column, etag: Column, if_modified_since: Column, last_modified: Column) -> Column:
     """Whether 304 is right: If-None-Match (weak comparison, *) beats If-Modified-Since (seconds)."""
     bare = lambda c: F.regexp_replace(F.btrim(c), "^W/", "")

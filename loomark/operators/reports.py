@@ -25,7 +25,7 @@ def token_reduction(n_in: Column, n_out: Column, factor: float = 1.0) -> Column:
 
 
 #: Ranges into which a group's values are cut to find a rank.
-RANGES = 256
+RANGES = 64
 
 
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, ps: dict[str, float], digits: int | None = None) -> DataFrame:

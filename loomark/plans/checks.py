@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomark.functions import text as X
 from loomark.operators import checks as C
 from loomark.operators import decisions as D
+from loomark.operators.policy import no_transform
 
 
 def pages(spark, sf_dir):
@@ -231,6 +232,26 @@ SELECT page_id, upper(CASE WHEN x & 1 <> 0 THEN 'x-' || substr(d, 1, 4) WHEN x &
 
 
 
+def request_gates(spark, sf_dir):
+    """Accept modes, and who is let through: modes, policies, tokens, cookies and Cache-Control come from the url's digest."""
+    d = F.md5("url")
+    mode = F.when(_bit(0) & _bit(1), "force").when(_bit(0), "wildcard").otherwise("strict")
+    accept = F.when(_bit(2), F.concat(F.lit("text/html;q=0."), F.when(_bit(3), "9").otherwise("2"), F.lit(" , TEXT/Markdown; q=0.5"))).when(_bit(4), "image/png, */*;q=0.1")
+    cookie = F.concat(F.lit("a=1; "), F.when(_bit(5), "wordpress_logged_in_").otherwise("theme"), F.substring(d, 1, 3), F.lit("=x"))
+    cache = F.concat(F.when(_bit(6), "public, No-Transform").otherwise("max-age=5, x-no-transform"), F.lit(" , s-maxage=1"))
+    policy = F.when(_bit(7), "deny").otherwise("allow")
+    token = F.when(_bit(8) & _bit(9), "Bearer x")
+    return pages(spark, sf_dir).select("page_id", D.accept_decision(mode, accept).alias("accept"), D.access(policy, token, cookie, no_transform(cache)).alias("access"))
+
+
+GATES_SQL = f"""
+WITH b AS (SELECT page_id, {BITS} AS x FROM pages)
+SELECT page_id, CASE WHEN x & 3 = 3 THEN 'convert' WHEN x & 4 <> 0 THEN CASE WHEN x & 8 <> 0 THEN 'lower_q' ELSE 'convert' END WHEN x & 16 <> 0 AND x & 1 <> 0 THEN 'convert' ELSE 'no_accept' END AS accept,
+  CASE WHEN x & 128 <> 0 AND (x & 768 = 768 OR x & 32 <> 0) THEN 'denied' WHEN x & 64 <> 0 THEN 'bypass' ELSE 'eligible' END AS access
+FROM b
+"""
+
+
 def trusted_sources(spark, sf_dir):
     """Addresses made of the url's digest against networks of several lengths made of the nations."""
     n = F.col("n_nationkey").cast("string")
@@ -249,7 +270,7 @@ FROM p
 """
 
 _ALL = {
-    "trusted_sources": (trusted_sources, TRUSTED_SQL),
+    "trusted_sources": (trusted_sources, TRUSTED_SQL), "request_gates": (request_gates, GATES_SQL),
     "attribute_checks": (attributes, ATTRIBUTES_SQL), "url_checks": (url_checks, URL_SQL), "code_texts": (code_texts, CODE_SQL), "label_words": (label_words, LABEL_WORDS_SQL),
     "flag_decisions": (decisions, DECISIONS_SQL), "reason_counters": (reasons, REASONS_SQL), "failure_reasons": (failures, FAILURES_SQL), "conditional_modes": (conditional_modes, CONDITIONAL_SQL),
     "span_json": (spans, SPANS_SQL), "metric_paths": (metric_paths, METRIC_PATHS_SQL), "metric_names": (metric_names, METRIC_NAMES_SQL), "path_coverage": (path_coverage, PATH_COVERAGE_SQL), "charset_detection": (charsets, CHARSETS_SQL),

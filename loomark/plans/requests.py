@@ -86,6 +86,9 @@ def chain(spark, sf_dir):
     r = requests(spark, sf_dir)
     e = D.eligibility(F.lit(True), F.col("method"), F.col("status"), F.lit(None).cast("string"), F.col("content_type"), F.col("content_length"), F.lit(0))
     a = D.negotiate_accept(F.col("accept"))
+    # each once, as columns of their own
+    r = r.select("content_length", e.alias("e"), a.alias("a"))
+    e, a = F.col("e"), F.col("a")
     reason = F.when(e != "eligible", "not_eligible").when(a == "no_accept", "skipped_no_accept").when(a == "explicit_reject", "skipped_accept_reject").when(a != "convert", "skipped_accept").otherwise("converted")
     return r.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("content_length").alias("bytes"))
 
@@ -99,7 +102,10 @@ SELECT reason, count(*) AS n, sum(content_length)::BIGINT AS bytes FROM (
 
 
 def text_functions(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    n = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < n:  # a small scan of long texts is dealt to all cores
+        d = d.repartition(n)
     t = F.col("text")
     return d.select("doc_id", X.estimate_tokens(t, 3.8).alias("tokens"), F.sha2(X.normalize_text(t), 256).alias("normal_sha256"), F.char_length(X.yaml_escape(t)).cast("long").alias("yaml_chars"), F.sha2(X.normalize_label(t), 256).alias("label_sha256"), F.char_length(X.escape_label(t)).cast("long").alias("label_chars"))
 
