@@ -27,13 +27,20 @@ DECODE = "regexp_replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '
 SQUEEZE = "trim(regexp_replace({x}, '[\\s]+', ' ', 'g'))"
 
 
-def _sql(front: bool) -> str:
+def _sql(front: bool, prune: bool = True) -> str:
     clean = lambda x: SQUEEZE.format(x=DECODE.format(x=x))
     star = "repeat('**', CASE WHEN opens THEN least(k - 1, 3) + 1 ELSE least(k, 3) END::INT)"
     yaml = "'---' || chr(10) || 'title: \"' || replace(replace(trim(" + DECODE.format(x="o.title") + "), '\\', '\\\\'), '\"', '\\\"') || '\"' || chr(10) || 'url: \"' || o.url || '\"' || chr(10) || '---' || chr(10) || chr(10) || " if front else ""
+    # noise that stays: a list of links before the advertisement, a last paragraph in as many marks as are still open
+    escaped = "regexp_replace({x}, '([\\[\\]\\\\])', '\\\\\\1', 'g')"
+    name, to = clean("regexp_extract(x, '(?s)>([^<]*)</a>', 1)"), "o.origin || " + DECODE.format(x="regexp_extract(x, 'href=.([^\"]*)', 1)")
+    item = f"'- ' || CASE WHEN {name} = '' THEN '' ELSE '[' || {escaped.format(x=name)} || '](' || CASE WHEN regexp_matches({to}, '[ ()<>]') THEN '<' || {to} || '>' ELSE {to} END || ')' END"
+    nl2 = "chr(10) || chr(10)"
+    begin = clean("o.title || o.ad") if prune else f"{clean('o.title')} || {nl2} || (SELECT string_agg(rtrim({item}), chr(10) ORDER BY i) FROM links WHERE links.page_id = o.page_id) || {nl2} || {clean('o.ad')}"
+    end = "" if prune else f"|| {nl2} || repeat('**', least(b.opened, 3)::INT) || {clean('o.foot')} || repeat('**', least(b.opened, 3)::INT)"
     return f"""
 WITH o AS (
-  SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
+  SELECT page_id, url, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
          regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
          regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
          regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
@@ -49,9 +56,9 @@ WITH o AS (
          {clean("regexp_replace(raw, '<[^>]*>', '', 'g')")} AS t
   FROM p0
 ), b AS (
-  SELECT page_id, string_agg({star} || t || {star}, chr(10) || chr(10) ORDER BY i) AS body FROM p GROUP BY page_id
+  SELECT page_id, string_agg({star} || t || {star}, chr(10) || chr(10) ORDER BY i) AS body, max(k) AS opened FROM p GROUP BY page_id
 ), m AS (
-  SELECT o.page_id, {yaml} {clean("o.title || o.ad")} || chr(10) || chr(10) || '# ' || {clean("o.h1")} || chr(10) || chr(10) || b.body || chr(10) AS md
+  SELECT o.page_id, {yaml} {begin} || chr(10) || chr(10) || '# ' || {clean("o.h1")} || chr(10) || chr(10) || b.body {end} || chr(10) AS md
   FROM o JOIN b USING (page_id)
 )
 SELECT page_id, sha256(md) AS md_sha256, length(md) AS n_chars, ceil(length(md) / 4.0)::BIGINT AS n_tokens FROM m
@@ -87,6 +94,7 @@ QUERIES = {
 ORACLE_SQL = {
     "html_to_markdown": _sql(False),
     "html_to_markdown_front_matter": _sql(True),
+    "html_to_markdown_unpruned": _sql(False, False),
     "html_links": LINKS_SQL,
     "html_metadata": METADATA_SQL,
 }
