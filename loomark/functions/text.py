@@ -107,5 +107,5 @@ def detect_charset(content_type: Column, html: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
-    one = lambda d, unit: F.concat(F.format_number(c / d, 1), F.lit(unit))
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, one(1024.0, " KiB")).otherwise(one(1048576.0, " MiB"))
+    one = lambda d, unit: F.concat(F.replace(F.format_number(c / d, 1), F.lit(","), F.lit("")), F.lit(unit))
+    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, one(1024.0, " KB")).otherwise(one(1048576.0, " MB"))

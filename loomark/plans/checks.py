@@ -77,7 +77,7 @@ CODE_SQL = """
 WITH t AS (SELECT doc_id, repeat('`', (doc_id % 6)::INT) || text || repeat('`', (doc_id % 9)::INT) AS t FROM documents),
 r AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0) AS run, strlen(t) * (doc_id % 700) AS b FROM t)
 SELECT doc_id, run, repeat('`', CASE WHEN run = 0 THEN 3 ELSE greatest(run, 3) + 1 END::INT) AS fence,
-  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:,.1f} KiB', round(b / 1024.0, 1)) ELSE format('{:,.1f} MiB', round(b / 1048576.0, 1)) END AS size,
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) ELSE format('{:.1f} MB', b / 1048576.0) END AS size,
   CASE WHEN strlen(t) % 900 > 0 THEN greatest(0, strlen(t) // 4 - strlen(t) % 900) ELSE 0 END AS saved
 FROM r
 """
