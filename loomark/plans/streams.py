@@ -96,5 +96,21 @@ def stream_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INFLATION_SQL = f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'failed' ELSE 'converted' END AS status, CASE WHEN page_id % 4 = 0 THEN 'decompression_truncated_input' END AS reason, CASE WHEN page_id % 4 > 0 THEN sha256(md) END AS md_sha256 FROM ({STREAM})"""
 
-QUERIES = {"stream_conversion": stream_conversion, "stream_parity": stream_parity, "stream_fallbacks": stream_fallbacks, "stream_inflation": stream_inflation}
-ORACLE_SQL = {"stream_conversion": CONVERSION_SQL, "stream_parity": PARITY_SQL, "stream_fallbacks": FALLBACKS_SQL, "stream_inflation": INFLATION_SQL}
+def stream_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pages whose charset a meta tag tells, in the first bytes or too late, or tells wrongly."""
+    k = F.col("page_id") % 5
+    label = F.when(k == 0, "iso-8859-1").when(k == 1, "'UTF8'").when(k == 2, "no-such").when(k == 4, "gb18030").otherwise("utf-8")
+    text = F.concat(F.lit("é "), F.substring("url", 1, 60))
+    html = F.concat(F.when(k == 4, F.repeat(F.lit(" "), 1100)).otherwise(""), F.lit("<meta charset="), label, F.lit("><p>"), text, F.lit("</p>"))
+    raw = F.when(k == 0, F.encode(html, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    rows = pages(spark, sf_dir).select("page_id", "url", raw.alias("raw"))
+    chunks = rows.select("page_id", "url", F.posexplode(F.array(F.substring("raw", F.lit(1), F.lit(40)), F.substring("raw", F.lit(41), F.lit(5000)))).alias("seq", "chunk")).withColumn("is_last", F.col("seq") == 1)
+    return convert_stream(chunks, charset=None).select("page_id", "status", "reason", "markdown")
+
+
+CHARSETS_SQL = """SELECT page_id, CASE WHEN page_id % 5 = 2 THEN 'failed' ELSE 'converted' END AS status, CASE WHEN page_id % 5 = 2 THEN 'encoding_error' END AS reason,
+  CASE WHEN page_id % 5 <> 2 THEN CASE WHEN page_id % 5 = 4 THEN ' ' ELSE '' END || 'é ' || substr(url, 1, 60) || chr(10) END AS markdown
+FROM pages"""
+
+QUERIES = {"stream_charsets": stream_charsets, "stream_conversion": stream_conversion, "stream_parity": stream_parity, "stream_fallbacks": stream_fallbacks, "stream_inflation": stream_inflation}
+ORACLE_SQL = {"stream_charsets": CHARSETS_SQL, "stream_conversion": CONVERSION_SQL, "stream_parity": PARITY_SQL, "stream_fallbacks": FALLBACKS_SQL, "stream_inflation": INFLATION_SQL}

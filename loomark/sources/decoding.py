@@ -93,7 +93,7 @@ def codec_labels() -> dict[str, str]:
 
 
 @lru_cache
-def _single_byte(codec: str) -> str | None:
+def single_byte(codec: str) -> str | None:
     """The characters of a single-byte code page: bytes 80 to 9F that it leaves open are control characters, others U+FFFE,
     which a character map takes for none."""
     if not codec.startswith(("cp125", "cp874", "iso8859", "iso-8859")):
@@ -107,7 +107,7 @@ def decode_bytes(data: bytes, label: str) -> str | None:
     codec = codec_labels().get(label.strip(" \t\n\f\r").lower())
     if codec is None:
         return None
-    table = _single_byte(codec)
+    table = single_byte(codec)
     try:
         return data.decode(codec, "strict") if table is None else codecs.charmap_decode(data, "strict", table)[0]
     except UnicodeDecodeError:

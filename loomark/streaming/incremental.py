@@ -1,6 +1,7 @@
 """Markdown while a page arrives: bytes go in chunk by chunk, finished lines come out at the ends of blocks.
 
-A page is a Feed. It decodes UTF-8 with a carried tail, cuts tokens that are complete, drops what is unsafe or noise, follows
+A page is a Feed. It decodes its bytes with a carried tail, in the charset given or told by a meta tag in the first SNIFFED bytes
+(which are held until then), cuts tokens that are complete, drops what is unsafe or noise, follows
 the open blocks and writes. What it can't do without the whole page (tables, drawings) it leaves to the converter of whole
 pages, as long as nothing has been given out; after that it closes what is open. Memory is bounded by Limits, not by the page.
 
@@ -26,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomark.functions.html5 import RAW, RCDATA, VOID, attributes
 from loomark.functions.markdown import LANGUAGE, WS, Options, convert, dangerous, label, resolve_metadata, squeeze
+from loomark.sources.decoding import codec_labels, decode_bytes, single_byte
 
 TAG = re.compile(r"<(?:!--(.*?)-->|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?]([^>]*)>)", re.S)
 # fixed values
@@ -35,6 +37,8 @@ FORMS = frozenset(("form", "button", "select", "textarea", "fieldset", "legend",
 TABLE = frozenset(("table", "thead", "tbody", "tr", "th", "td"))
 DRAWN = frozenset(("svg", "math", "canvas"))
 MAX_DEPTH, FRAME = 1000, 64
+SNIFFED = 1024
+META = [re.compile(p, re.I) for p in (r"<meta\s+charset\s*=\s*[\"']?([^\"'>;\s/]+)", r"<meta[^>]+charset\s*=\s*[\"']?([^\"'>;\s/]+)")]
 # fixed values: start tags that end others, what they end and where the search stops
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IN_BUTTON = frozenset("applet button caption html marquee object table td th template".split())
@@ -161,9 +165,11 @@ class Output:
 
 
 class Feed:
-    def __init__(self, options: Options = Options(), base: str | None = None, limits: Limits = Limits(), threshold: int = 0, encoding: str = "identity"):
+    def __init__(self, options: Options = Options(), base: str | None = None, limits: Limits = Limits(), threshold: int = 0, encoding: str = "identity", charset: str | None = "UTF-8"):
+        """charset: a label; None to look for one in the page."""
         self.o, self.base, self.limits, self.threshold = options, base, limits, threshold
         self.body, self.decoder_state, self.text = Inflater(encoding), (b"", 0), ""
+        self.charset, self.codec, self.sniffed = charset, None, b""
         self.raw_until: str | None = None
         self.out, self.stats, self.committed = Output(limits.output), Stats(), False
         self.skip: list = []  # what is unsafe: its tag and the depth within it
@@ -207,9 +213,22 @@ class Feed:
         return out
 
     def _decode(self, data: bytes, last: bool) -> str:
-        decoder = codecs.getincrementaldecoder("utf-8")("strict")
-        decoder.setstate(self.decoder_state)
+        if self.codec is None:
+            self.sniffed += data
+            if self.charset is None:
+                if len(self.sniffed) < SNIFFED and not last:
+                    return ""
+                head = self.sniffed[:SNIFFED].decode("latin-1")
+                self.charset = next((m[1] for p in META if (m := p.search(head))), "UTF-8")
+            data, self.sniffed = self.sniffed, b""
+            self.codec = codec_labels().get(self.charset.strip().lower())
+            if self.codec is None:
+                raise Stopped("encoding_error")
         try:
+            if (table := single_byte(self.codec)) is not None:
+                return codecs.charmap_decode(data, "strict", table)[0]
+            decoder = codecs.getincrementaldecoder(self.codec)("strict")
+            decoder.setstate(self.decoder_state)
             text = decoder.decode(data, last)
         except UnicodeDecodeError as e:
             raise Stopped("encoding_error") from e
@@ -508,8 +527,8 @@ class Page:
     """A feed, what it gave out, and chunks that came before their turn; bytes are kept until something is given out, so that
     the converter of whole pages can take over."""
 
-    def __init__(self, options: Options, base: str | None, limits: Limits, threshold: int, encoding: str):
-        self.feed, self.options, self.base = Feed(options, base, limits, threshold, encoding), options, base
+    def __init__(self, options: Options, base: str | None, limits: Limits, threshold: int, encoding: str, charset: str | None):
+        self.feed, self.options, self.base = Feed(options, base, limits, threshold, encoding, charset), options, base
         self.next, self.last, self.early, self.given, self.replay = 0, -1, {}, "", []
         self.ended: tuple[str, str | None] | None = None
 
@@ -555,19 +574,22 @@ class Page:
         if status == "fallback":
             inflater = Inflater(self.feed.body.encoding)
             try:
-                text = convert(b"".join(map(inflater.feed, self.replay)).decode("utf-8"), self.base, self.options)
-            except (UnicodeDecodeError, Stopped) as e:
-                status, text, reason = "failed", None, getattr(e, "reason", str(e))
+                body = decode_bytes(b"".join(map(inflater.feed, self.replay)), self.feed.charset or "UTF-8")
+                if body is None:
+                    raise Stopped("encoding_error")
+                text = convert(body, self.base, self.options)
+            except Stopped as e:
+                status, text, reason = "failed", None, str(e)
         elif status == "failed" and not self.feed.committed:
             text = None
         s, (title, url) = self.feed.stats, self.feed.metadata()
         return pd.DataFrame([[key, text, status, reason, title, url, self.next, s.tokens, s.flushes, s.peak]], columns=[x.split()[0] for x in OUT.split(", ")])
 
 
-def convert_stream(chunks: DataFrame, options: Options = Options(), limits: Limits = Limits(), threshold: int = 0, encoding: str = "identity", timeout_seconds: int = 600) -> DataFrame:
+def convert_stream(chunks: DataFrame, options: Options = Options(), limits: Limits = Limits(), threshold: int = 0, encoding: str = "identity", charset: str | None = "UTF-8", timeout_seconds: int = 600) -> DataFrame:
     """chunks (page_id, url, seq, chunk, is_last) -> a row per page (OUT): converted, fallback (by the converter of whole pages),
     failed, or, on a stream, abandoned. Chunks may come in any order and twice; a null id is a page of its own."""
-    new = lambda url: Page(options, url, limits, threshold, encoding)
+    new = lambda url: Page(options, url, limits, threshold, encoding, charset)
     if not chunks.isStreaming:
 
         def whole(key, df: pd.DataFrame) -> pd.DataFrame:
