@@ -197,5 +197,5 @@ def capped_paths(hits: DataFrame, cap: int, path: str = "path", first: str = "fi
     """hits (path, n, first_seen), one row a path: the first `cap` paths stay, the others are one row __overflow__.
     The cap keeps a bounded list; its members are found by an ordered limit, not by one window over all rows."""
     kept = hits.orderBy(first, path).limit(cap).select(F.col(path).alias("_p"), F.lit(True).alias("_in"))
-    named = hits.join(F.broadcast(kept), F.col(path) == F.col("_p"), "left")
+    named = hits.join(kept, F.col(path) == F.col("_p"), "left")
     return named.groupBy(F.when(F.col("_in"), F.col(path)).otherwise("__overflow__").alias(path)).agg(F.sum("n").alias("n"))
