@@ -170,12 +170,16 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_offsets: bool = False) -> DataFrame:
-    """(id, ids binary) and, with_offsets, starts and ends: character positions, stored as ids are."""
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_offsets: bool = False, with_decoded: bool = False
+) -> DataFrame:
+    """(id, ids binary) and, with_offsets, starts and ends: character positions, stored as ids are; with_decoded, decoded as of
+    decode(), by the same Python worker: a second node has a second worker for each task, with a vocabulary of its own."""
     path = path or default_path()
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary" + ", starts binary, ends binary" * with_offsets
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary" + ", starts binary, ends binary" * with_offsets + ", decoded binary" * with_decoded
+    names = [id_col, "ids", *["starts", "ends"] * with_offsets, *["decoded"] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -187,7 +191,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 if with_offsets:
                     both = [offsets(x, path) for x in ids]
                     columns += [pa.array([x[i].astype("<u4").tobytes() for x in both], pa.binary()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "starts", "ends"][: len(columns)])
+                if with_decoded:
+                    columns.append(pa.array([decode_ids(x, path) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, schema)
 
@@ -210,7 +216,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", path: str | None = None) ->
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs, with_offsets=True))
+    both = encode(docs, with_offsets=True, with_decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

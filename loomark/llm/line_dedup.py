@@ -26,6 +26,8 @@ from loomark.llm.common import BLANKS, ascii_lower, aside, cut, fresh_path, remo
 MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES = 4
+#: Up to FEW_LINES lines runs have a bucket for each BUCKET_LINES lines; beyond it, as many as the session has partitions.
+FEW_LINES, BUCKET_LINES = 1 << 20, 1 << 17
 #: Frequent keys are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,18 +51,27 @@ def key_hashes(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h, n, fresh): a key's hash, the number of documents that hold it, and whether the run brought it."""
+    """Levelled sorted runs of (h, n, fresh): a key's hash, the number of documents that hold it, and whether the run brought it.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = MIN_CHARS):
+    lines: how many lines come in all, where that is known. For few of them a bucket, that is a file, for each partition of a large
+    session would hold next to nothing; and on a local file system Hadoop starts a process for every file it writes.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = MIN_CHARS, lines: int | None = None):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
         # as many as an aggregation has, so that its result meets a run's buckets without another shuffle
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        few = max(1, -(-lines // BUCKET_LINES)) if lines is not None and lines <= FEW_LINES else self.buckets
+        #: Whether the engine may join small partitions; each task then writes a file for every bucket.
+        self.few = few < self.buckets
+        self.buckets = min(few, self.buckets)
         #: By level: the table and the path of each run.
         self.levels: dict[int, list[tuple[str, str]]] = {}
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "line_run")
-        rows.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        dealt = rows.repartition("h") if self.few else rows.repartition(self.buckets, "h")
+        dealt.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name, path
 
     def _drop(self, *runs: tuple[str, str]) -> None:
@@ -155,7 +166,7 @@ def dedup_lines(
     # rows that are the same in both hashes are the same in text
     row = [F.xxhash64(F.col(id_col), text).alias("_r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("_r2")]
     hashed, _ = cut(docs.select(*row, key_hashes(text, min_chars).alias("_h")), "line_hashes")
-    runs = LineRuns(spark, min_chars=min_chars)
+    runs = LineRuns(spark, min_chars=min_chars, lines=hashed.agg(F.sum(F.size("_h"))).first()[0] or 0)
     for k in range(batches):
         part = hashed.where(F.pmod("_r1", F.lit(batches)) == k)
         runs.add_keys(part.select(F.explode(F.array_distinct("_h")).alias("h")).where("h is not null"))

@@ -166,6 +166,15 @@ def test_bpe_offsets(spark):
     assert starts[0] == 0 and ends[-1] == len(text) and (starts < ends).all() and (starts[1:] < ends[:-1]).any()
 
 
+def test_bpe_one_worker_a_task(spark):
+    """Encoding and decoding are one Python node: two would keep two workers a task, each with the vocabulary."""
+    docs = spark.createDataFrame([(1, "naïve 😀 test"), (2, None), (None, ""), (3, "word " * 30_000)], "doc_id long, text string")
+    plan = bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rows = lambda df: Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert rows(bpe.encode(docs, with_decoded=True)) == rows(bpe.decode(bpe.encode(docs)))
+
+
 def test_byte_table():
     chars, inverse = bpe.byte_table(), bpe.inverse_table()
     assert len(set(chars)) == 256 and all(inverse[ord(c)] == b for b, c in enumerate(chars))
@@ -446,6 +455,40 @@ def test_line_runs(spark):
     runs.remove()
 
 
+@pytest.mark.parametrize("few_lines", [line_dedup.FEW_LINES, 0])
+def test_line_runs_of_few_lines(spark, odd, monkeypatch, few_lines):
+    """A session of many partitions doesn't cut a small table's runs into as many files; the result is the same either way."""
+    want = Counter(tuple(r) for r in line_dedup.op4(spark, odd).collect())
+    files, write, before = [], line_dedup.LineRuns._write, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def written(self, rows):
+        name, path = write(self, rows)
+        files.append(len(glob.glob(f"{path.removeprefix('file:')}/part-*")))
+        return name, path
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", written)
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few_lines)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert Counter(tuple(r) for r in line_dedup.op4(spark, odd).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(files) == 8 and (max(files) == 1 if few_lines else max(files) > 8)
+
+
+@pytest.mark.parametrize("lines", [5, 300_000])
+def test_line_runs_of_few_lines_shuffle_nothing(spark, lines):
+    runs = line_dedup.LineRuns(spark, fanout=2, lines=lines)
+    assert runs.buckets == (1 if lines == 5 else 3)
+    batch = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    for part in (batch("a\nb", "a"), batch("A \nc"), batch("b\nb"), batch("z"), batch("q\na")):
+        runs.add(part)
+    assert sorted(r.n for r in runs.counts().collect()) == [1, 1, 1, 2, 4]
+    plan = runs.fresh(spark.read.table(runs._runs()[0][0])).drop("n")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    runs.remove()
+
+
 def test_line_dedup_linear(spark):
     """Ten documents of 20,000 lines that all go, within seconds."""
     import time
