@@ -62,7 +62,7 @@ class LineRuns:
         # as many as an aggregation has, so that its result meets a run's buckets without another shuffle
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         few = max(1, -(-lines // BUCKET_LINES)) if lines is not None and lines <= FEW_LINES else self.buckets
-        #: Whether the engine may join small partitions; each task then writes a file for every bucket.
+        #: Whether partitions are joined, also where the session doesn't do so itself; each task then writes a file for every bucket.
         self.few = few < self.buckets
         self.buckets = min(few, self.buckets)
         #: By level: the table and the path of each run.
@@ -70,7 +70,7 @@ class LineRuns:
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "line_run")
-        dealt = rows.repartition("h") if self.few else rows.repartition(self.buckets, "h")
+        dealt = rows.coalesce(self.buckets) if self.few else rows.repartition(self.buckets, "h")
         dealt.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name, path
 
